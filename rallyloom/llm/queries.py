@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rallyloom.llm.bpe import encode_documents
 from rallyloom.llm.exact_dedup import exact_duplicates
+from rallyloom.llm.lm_scores import score_documents
 from rallyloom.llm.quality_rules import judge_documents
+from rallyloom.llm.substring_dedup import remove_repeats
 from rallyloom.llm.token_counts import count_tokens
 
 
@@ -29,16 +33,32 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return judge_documents(docs).select(*columns)
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = score_documents(_table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", "n_backoff", F.bround("log_prob", 4).alias("log_prob"), F.bround("mean_log_prob", 6).alias("mean_log_prob"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_bpe_encoding": op5_bpe_encoding,
     "op7_quality_rules": op7_quality_rules,
+    "op9_lm_scores": op9_lm_scores,
 }
 
 OP1_SQL = r"""
@@ -70,4 +90,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b LEFT JOIN v ON b.source = v.source
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL}
+OP4_SQL = r"""
+WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM a)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY g) > 1),
+cut AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(generate_series(i, i + 34)) AS p FROM twice) GROUP BY 1),
+kept AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n
+         FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM a) u
+         ANTI JOIN (SELECT doc_id, unnest(ps) AS p FROM cut) c ON u.doc_id = c.doc_id AND u.i = c.p GROUP BY 1)
+SELECT a.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM a LEFT JOIN kept ON a.doc_id = kept.doc_id
+"""
+
+OP9_SQL = r"""
+WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM a),
+b AS (SELECT doc_id, x, i, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM u),
+c1 AS (SELECT x, count(*) AS n FROM u GROUP BY 1), d1 AS (SELECT doc_id, x, count(*) AS n FROM u GROUP BY 1, 2),
+c2 AS (SELECT v, x, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY 1, 2), d2 AS (SELECT doc_id, v, x, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY 1, 2, 3),
+total AS (SELECT count(*) AS n FROM u), own AS (SELECT doc_id, count(*) AS n FROM u GROUP BY 1),
+o AS (SELECT b.doc_id, b.i, c1.n - d1.n AS o1, cv.n - dv.n AS ov, c2.n - d2.n AS o2, total.n - own.n AS rest
+      FROM b JOIN c1 ON b.x = c1.x JOIN d1 ON b.doc_id = d1.doc_id AND b.x = d1.x
+      LEFT JOIN c1 cv ON b.v = cv.x LEFT JOIN d1 dv ON b.doc_id = dv.doc_id AND b.v = dv.x
+      LEFT JOIN c2 ON b.v = c2.v AND b.x = c2.x LEFT JOIN d2 ON b.doc_id = d2.doc_id AND b.v = d2.v AND b.x = d2.x
+      JOIN own ON b.doc_id = own.doc_id, total),
+s AS (SELECT doc_id, i, o2, CASE WHEN o1 > 0 THEN o1::DOUBLE ELSE 0.5::DOUBLE END / (rest + 0.5::DOUBLE) AS s1, ov FROM o),
+r AS (SELECT doc_id, count(*) AS n_words, sum(CASE WHEN i > 1 AND o2 <= 0 THEN 1 ELSE 0 END)::BIGINT AS n_backoff,
+             sum(ln(CASE WHEN i = 1 THEN s1 WHEN o2 > 0 THEN o2::DOUBLE / ov ELSE 0.4::DOUBLE * s1 END)) AS lp FROM s GROUP BY 1)
+SELECT a.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS n_backoff,
+       round_even(coalesce(lp, 0), 4) AS log_prob, round_even(lp / n_words, 6) AS mean_log_prob
+FROM a LEFT JOIN r ON a.doc_id = r.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op7_quality_rules": OP7_SQL, "op9_lm_scores": OP9_SQL}
