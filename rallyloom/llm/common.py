@@ -29,6 +29,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the driver's JVM ends."""
+    context = spark.sparkContext
+    folder = f"{scratch_dir(spark)}/rallyloom-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again.
 
@@ -36,7 +48,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     table, and what was stored (ids included) is the same for every reader.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rallyloom.llm.bpe import encode_documents
 from rallyloom.llm.exact_dedup import exact_duplicates
 from rallyloom.llm.lm_scores import score_documents
+from rallyloom.llm.near_dedup import near_duplicates
 from rallyloom.llm.quality_rules import judge_documents
 from rallyloom.llm.substring_dedup import remove_repeats
 from rallyloom.llm.token_counts import count_tokens
@@ -47,6 +48,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(docs).select(*columns)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = score_documents(_table(spark, sf_dir, "documents"))
     return scores.select("doc_id", "n_words", "n_backoff", F.bround("log_prob", 4).alias("log_prob"), F.bround("mean_log_prob", 6).alias("mean_log_prob"))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe_encoding": op5_bpe_encoding,
     "op7_quality_rules": op7_quality_rules,
+    "op8_near_dedup": op8_near_dedup,
     "op9_lm_scores": op9_lm_scores,
 }
 
