@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rallyloom.llm.bpe import encode_documents
 from rallyloom.llm.exact_dedup import exact_duplicates
 from rallyloom.llm.lm_scores import score_documents
+from rallyloom.llm.mixing import mix_documents
 from rallyloom.llm.near_dedup import near_duplicates
 from rallyloom.llm.quality_rules import judge_documents
 from rallyloom.llm.substring_dedup import remove_repeats
@@ -30,6 +31,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_documents(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.bround("target", 6).alias("target"), "taken")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -59,6 +65,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_source_mixing": op2_source_mixing,
     "op3_token_counts": op3_token_counts,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe_encoding": op5_bpe_encoding,
