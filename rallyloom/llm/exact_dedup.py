@@ -53,12 +53,12 @@ def _groups(rows: DataFrame, keys: list[str], width: int, level: int) -> DataFra
 def _split(rows: DataFrame, groups: DataFrame, keys: list[str], level: int) -> DataFrame:
     """Rows with their group of this level; bytes stay only with rows that go on.
 
-    A hot digit is a skewed probe side against one build row: adaptive execution
-    splits it.
+    A hot digit is a skewed side against one row of the other: adaptive execution
+    splits it. The join is a sort-merge join at every size, never a broadcast.
     """
     alone = F.col("size").isNull()
     done = alone | F.col("ended")
-    out = rows.join(groups, keys, "left").select(
+    out = rows.join(groups.hint("merge"), keys, "left").select(
         "doc_id", "n_cp", "text_sha256",
         F.when(alone, F.col("doc_id")).otherwise(F.col("best_id")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("bigint").alias("group_size"),

@@ -89,6 +89,17 @@ def rule_counts(df: DataFrame, text: str = "text", params: QualityParams = Quali
     return df.withColumn("base_failed", failed).drop("_words", "_lines")
 
 
+def beta_prior(docs: float, failed: float, squares: float, hosts: int, params: QualityParams) -> tuple[float, float]:
+    """Mean and strength. ``squares``: sum over hosts of failed ** 2 / docs."""
+    if not docs:
+        return 0.0, params.max_strength
+    mean = failed / docs
+    # Variance of the rates between hosts, less what binomial noise adds to it.
+    between = squares / docs - mean * mean - mean * (1 - mean) * hosts / docs
+    strength = mean * (1 - mean) / between - 1 if between > 1e-12 else params.max_strength
+    return mean, min(max(strength, params.min_strength), params.max_strength)
+
+
 def host_verdicts(counted: DataFrame, host: str = "source", params: QualityParams = QualityParams()) -> DataFrame:
     """One row per host: ``host, host_docs, host_failed, host_rate, host_ok``.
 
@@ -102,22 +113,11 @@ def host_verdicts(counted: DataFrame, host: str = "source", params: QualityParam
         .agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("bigint")).alias("host_failed"))
     )
     n, f = F.col("host_docs").cast("double"), F.col("host_failed").cast("double")
-    prior = hosts.agg(
-        F.sum("host_docs").cast("double").alias("_n"), F.sum("host_failed").cast("double").alias("_f"),
-        F.sum(f * f / n).alias("_ff"), F.count(F.lit(1)).cast("double").alias("_h"),
-    )
-    mean = F.col("_f") / F.col("_n")
-    # Variance of the rates between hosts, less what binomial noise adds to it.
-    between = F.col("_ff") / F.col("_n") - mean * mean - mean * (1 - mean) * F.col("_h") / F.col("_n")
-    strength = F.when(between > 1e-12, mean * (1 - mean) / F.greatest(between, F.lit(1e-12)) - 1).otherwise(
-        F.lit(params.max_strength)
-    )
-    strength = F.least(F.greatest(strength, F.lit(params.min_strength)), F.lit(params.max_strength))
-    prior = prior.where(F.col("_n") > 0).select(mean.alias("_mean"), strength.alias("_strength"))
-    # The prior is one row; joining it to the host table is not a join of rows with rows.
-    out = hosts.join(F.broadcast(prior), F.lit(True))
-    rate = (f + F.col("_mean") * F.col("_strength")) / (n + F.col("_strength"))
-    return out.withColumn("host_rate", rate).select(
+    # One row of four sums; they become constants of the plan.
+    sums = hosts.agg(F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("ff"), F.count(F.lit(1)).alias("h")).first()
+    mean, strength = beta_prior(sums["n"] or 0.0, sums["f"] or 0.0, sums["ff"] or 0.0, sums["h"], params)
+    rate = (f + mean * strength) / (n + strength)
+    return hosts.withColumn("host_rate", rate).select(
         "host", "host_docs", "host_failed", "host_rate", (F.col("host_rate") <= params.max_host_rate).alias("host_ok")
     )
 

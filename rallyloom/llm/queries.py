@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyloom.llm.bpe import encode_documents
+from rallyloom.llm.chat_format import REPLY, conversation_messages, format_messages
 from rallyloom.llm.exact_dedup import exact_duplicates
 from rallyloom.llm.lm_scores import score_documents
 from rallyloom.llm.mixing import mix_documents
@@ -16,6 +17,11 @@ from rallyloom.llm.quality_rules import judge_documents
 from rallyloom.llm.substring_dedup import remove_repeats
 from rallyloom.llm.token_counts import count_tokens
 
+from rallyloom.llm.url_filter import filter_pages, has_label
+
+#: Labels of the hosts on the production block list.
+BLOCKED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -48,6 +54,10 @@ def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_pages(_table(spark, sf_dir, "pages"), has_label(BLOCKED_LABELS))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -63,15 +73,23 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_words", "n_backoff", F.bround("log_prob", 4).alias("log_prob"), F.bround("mean_log_prob", 6).alias("mean_log_prob"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = conversation_messages(_table(spark, sf_dir, "conversations"))
+    formatted = format_messages(messages, REPLY)
+    return formatted.withColumn("errors", F.concat_ws("; ", "errors"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_source_mixing": op2_source_mixing,
     "op3_token_counts": op3_token_counts,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_bpe_encoding": op5_bpe_encoding,
+    "op6_url_filters": op6_url_filters,
     "op7_quality_rules": op7_quality_rules,
     "op8_near_dedup": op8_near_dedup,
     "op9_lm_scores": op9_lm_scores,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 OP1_SQL = r"""
@@ -135,4 +153,32 @@ SELECT a.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_backoff, 0)
 FROM a LEFT JOIN r ON a.doc_id = r.doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op7_quality_rules": OP7_SQL, "op9_lm_scores": OP9_SQL}
+OP6_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(verdict, h, pre) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fit AS (SELECT page_id, arg_max(h || pre, length(h || pre)) AS rule, arg_max(verdict, length(h || pre)) AS verdict
+        FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id)
+SELECT p.page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
+FROM (SELECT *, list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS listed FROM p) p
+LEFT JOIN fit ON p.page_id = fit.page_id
+"""
+
+OP10_SQL = r"""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
+m AS (SELECT *, CASE WHEN role = 'user' THEN conv_id || ':' || turn END AS call_id, CASE WHEN role = 'assistant' THEN conv_id || ':' || (turn - 1) END AS result_of FROM c),
+x AS (SELECT m.*, q.turn AS call_turn, exists(SELECT 1 FROM m a WHERE a.result_of = m.call_id) AS answered
+      FROM m LEFT JOIN (SELECT call_id, turn FROM m WHERE call_id IS NOT NULL) q ON m.result_of = q.call_id)
+SELECT conv_id, turn, role,
+       CASE WHEN call_id IS NOT NULL THEN CASE WHEN answered THEN 'answered' ELSE 'open' END
+            WHEN result_of IS NOT NULL THEN CASE WHEN call_turn IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'message' END AS status,
+       '' AS errors, 0::BIGINT AS level, coalesce(call_turn, turn) AS at, CASE WHEN result_of IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS step,
+       '{' || CASE WHEN call_id IS NOT NULL THEN '"arguments":{"chars":' || length(t) || ',"prompt":' || to_json(t)::VARCHAR || '},"call_id":' || to_json(call_id)::VARCHAR || ',' ELSE '' END
+           || '"content":' || to_json(t)::VARCHAR || CASE WHEN result_of IS NOT NULL THEN ',"result_of":' || to_json(result_of)::VARCHAR ELSE '' END
+           || ',"role":' || to_json(role)::VARCHAR || CASE WHEN call_id IS NOT NULL THEN ',"tool":"reply"' ELSE '' END || '}' AS line
+FROM x
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_url_filters": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_lm_scores": OP9_SQL, "op10_chat_formatting": OP10_SQL}
