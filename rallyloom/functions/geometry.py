@@ -73,6 +73,11 @@ def half_even(x: Column, digits: int) -> Column:
     return F.bround(x, digits)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Rounded half up on the binary value, with the same two operations in any engine."""
+    return F.floor(x * lit(10**digits) + lit(0.5)).cast("double") / lit(10**digits)
+
+
 def seconds(frame: Column, fps: Column) -> Column:
     return F.bround(F.try_divide(frame.cast("double"), fps), 2)
 

@@ -1,6 +1,6 @@
 """All queries and their SQL, by name."""
 
-from rallyloom.plans import oracles_events, queries_events
+from rallyloom.plans import oracles_curation, oracles_events, queries_curation, queries_events
 
-QUERIES = {**queries_events.QUERIES}
-ORACLES = {**oracles_events.ORACLES}
+QUERIES = {**queries_events.QUERIES, **queries_curation.QUERIES}
+ORACLES = {**oracles_events.ORACLES, **oracles_curation.ORACLES}
