@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from rallyloom.llm.common import text_bytes
 
 #: UTF-8 bytes of text in a block, on average.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Text that a packing task gathers before it sends what it has to the blocks.
-PACK_BYTES = 32 << 20
+PACK_BYTES = 16 << 20
 
 Docs = Iterator[tuple[int | None, bytes]]
 

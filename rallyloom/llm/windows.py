@@ -9,7 +9,7 @@ import xxhash
 BASE = 0x9E3779B97F4A7C15
 MIX_1, MIX_2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 
 
 class _Ids(dict):
