@@ -5,19 +5,20 @@
 2. Inverted lists of retained values generate candidates. Two sets that are
    similar enough share many retained values, so each class is listed only under
    its rarest ones (prefix filter); what every text holds lists nobody.
-3. Links inside a list are first sought to one pivot, the member with the smallest
-   class id. Components of the verified links contract, and only pairs of members
-   that are still apart are compared then. A group of thousands of near copies
-   costs a pair each, not a pair for every two.
-4. The union sketch of two classes estimates their similarity and filters; exact
-   Jaccard on full sets, made from the texts, verifies.
+3. Lists with the same smallest member are one group. A group's sketches meet in
+   one task, which counts overlaps of all of them at once and keeps the members
+   that the union sketch finds likely to have a partner. No pair is emitted.
+4. The kept members' full sets, made from their texts, meet in the same way; exact
+   Jaccard decides, and a task emits only a spanning forest of its links.
+
+Groups above ``BLOCK`` members are cut into blocks, and every two blocks meet in a
+task of their own, so a task holds at most two blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ from rallyloom.llm.windows import window_hashes, word_ids
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Standard deviations by which a similar pair's shared values may fall below their mean.
 MARGIN = 5.5
+#: Members of a block; a task compares two blocks at most.
+BLOCK = 512
+#: Bits of the filter that spares texts a shuffle (2 MiB; two of 24-bit words).
+FILTER_BITS = 1 << 24
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -68,8 +73,10 @@ def _sketches(width: int, k: int):
     return run
 
 
-def _packed_texts(width: int):
+def _packed_texts(width: int, bits):
     def run(batches):
+        bitmap = bits.value
+        listed = lambda p: bitmap[p >> 3] >> (p & 7) & 1
         seen: set[bytes] = set()
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
@@ -80,6 +87,8 @@ def _packed_texts(width: int):
                 digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
                 if digest is None or digest in seen:
                     continue
+                if not (listed(int.from_bytes(digest[:3]) % FILTER_BITS) and listed(int.from_bytes(digest[4:7]) % FILTER_BITS)):
+                    continue
                 if len(seen) < 1_000_000:
                     seen.add(digest)
                 digests.append(digest)
@@ -96,87 +105,151 @@ def _values(batches):
         yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(np.concatenate(sketches) if sketches else [], pa.int64())], ["gid", "value"])
 
 
-def _estimates(threshold: float, k: int):
-    """Pairs that the union sketch lets through; ``sure`` where both sketches are whole sets."""
-    low = least_shared(threshold, k)
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets, from products of incidence matrices."""
+    m = len(sets)
+    if m == 2:
+        out = np.zeros((2, 2), np.int64)
+        out[0, 1] = out[1, 0] = len(np.intersect1d(*sets, assume_unique=True))
+        return out
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((m, m), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [first, first + 4096])
+        part = np.zeros((m, 4096), np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _runs(batches):
+    """Lists of record batches, one list for each run of equal ``pivot, i, j``."""
+    held, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("pivot", "i", "j")], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            key = tuple(keys[a].tolist())
+            if key != held and parts:
+                yield held, parts
+                parts = []
+            held = key
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield held, parts
+
+
+def _list(parts: list[pa.RecordBatch], column: str) -> list:
+    return [x for p in parts for x in p.column(column).to_pylist()]
+
+
+def _near_size(n: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
+
+
+def _likely(percent: int, k: int):
+    """Members of each group that share enough retained values with another member."""
+    t = percent / 100
+    low, whole = least_shared(t, k), math.floor(k * t)
 
     def run(batches):
-        for batch in batches:
-            keep, sure = [], []
-            for na, nb, a, b in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb"))):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True)
-                if na <= k and nb <= k:
-                    exact = len(both) >= threshold * (na + nb - len(both)) - 1e-9
-                    keep.append(exact)
-                    sure.append(exact)
-                else:
-                    union = np.union1d(x, y)[:k]
-                    keep.append(int(np.searchsorted(both, union[-1], "right")) >= low)
-                    sure.append(False)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask), pa.array(sure, pa.bool_()).filter(mask)], ["a", "b", "sure"])
+        for (pivot, _, _), parts in _runs(batches):
+            gid, n = np.array(_list(parts, "gid")), np.array(_list(parts, "n"))
+            shared = _overlaps([np.frombuffer(x, np.uint64) for x in _list(parts, "sketch")])
+            # A set whose partners' sketches are whole too shares at least t of itself.
+            must = np.where(n <= whole, -(-n * percent // 100), low)
+            fits = (shared >= np.maximum.outer(must, must)) & _near_size(n, percent)
+            np.fill_diagonal(fits, False)
+            kept = gid[fits.any(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([pivot] * len(kept), pa.int64()), pa.array(kept, pa.int64())], ["pivot", "gid"])
 
     return run
 
 
-def _exact(width: int, percent: int):
+def _linked(width: int, percent: int):
+    """A spanning forest of the exact links inside each group."""
+
     def run(batches):
         expand = zstandard.ZstdDecompressor().decompress
+        for _, parts in _runs(batches):
+            gid = _list(parts, "gid")
+            sets = [shingle_set(expand(x), width) for x in _list(parts, "packed")]
+            n, shared = np.array([len(x) for x in sets]), _overlaps(sets)
+            links = np.argwhere(np.triu(100 * shared >= percent * (np.add.outer(n, n) - shared), 1))
+            parent = [*range(len(gid))]
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            forest = []
+            for x, y in links.tolist():
+                a, b = root(x), root(y)
+                if a != b:
+                    parent[b] = a
+                    forest.append((gid[x], gid[y]))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in forest], pa.int64()), pa.array([b for _, b in forest], pa.int64())], ["a", "b"])
+
+    return run
 
-        @lru_cache(256)
-        def whole(packed: bytes) -> np.ndarray:
-            return shingle_set(expand(packed), width)
 
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
-                x, y = whole(a), whole(b)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+def _blocks(members: DataFrame) -> DataFrame:
+    """``pivot, i, j, gid``: every member in each pair of blocks that holds its own block."""
+    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("gid"), F.col("blocks"))
+    dealt = members.join(sizes, "pivot").select("pivot", "gid", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    return dealt.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "gid")
 
-    return run
 
+def _together(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "gid")
 
-class _Search:
-    """The stored tables of one run, and how pairs of classes are verified with them."""
-
-    def __init__(self, base: DataFrame, classes: DataFrame, width: int, percent: int, k: int):
-        self.base, self.classes, self.width, self.percent, self.k = base, classes, width, percent, k
-        self.texts: DataFrame | None = None
-
-    def lists(self) -> DataFrame:
-        """``value, gid, n``: classes under the rarest retained values they must share with a similar one."""
-        k, t = self.k, self.percent / 100
-        postings = self.classes.select("gid", "sketch").mapInArrow(_values, "gid bigint, value bigint")
-        held = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-        shared = postings.join(held, "value")
-        ranked = shared.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by_df"))
-        # A set whose partners' sketches are whole too shares at least t of itself.
-        must = F.when(F.col("n") <= math.floor(k * t), F.ceil(F.col("n") * F.lit(self.percent) / 100)).otherwise(F.lit(least_shared(t, k)))
-        sized = ranked.join(self.classes.select("gid", "n"), "gid").withColumn("prefix", (F.size("by_df") - must + 1).cast("int"))
-        rare = sized.where("prefix > 0").select("gid", "n", F.explode(F.slice("by_df", F.lit(1), F.col("prefix"))).alias("x"))
-        return materialise(rare.select(F.col("x.value").alias("value"), "gid", "n"), "near-lists")
-
-    def keep_texts(self, gids: DataFrame) -> None:
-        """Store the packed text of every class that may need full sets."""
-        wanted = self.classes.join(gids, "gid", "left_semi").select("gid", "digest")
-        texts = self.base.select("text").mapInArrow(_packed_texts(self.width), "digest binary, packed binary")
-        first = texts.join(wanted, "digest").groupBy("gid").agg(F.first("packed").alias("packed"))
-        self.texts = materialise(first, "near-texts")
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``a, b`` that are links."""
-        side = lambda x, s: x.select(F.col("gid").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-        c = self.classes.select("gid", "n", "sketch")
-        both = pairs.join(side(c, "a"), "a").join(side(c, "b"), "b")
-        likely = materialise(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_estimates(self.percent / 100, self.k), "a bigint, b bigint, sure boolean"), "near-likely")
-        text = lambda s: self.texts.select(F.col("gid").alias(s), F.col("packed").alias(f"t{s}"))
-        tested = likely.where("not sure").select("a", "b").join(text("a"), "a").join(text("b"), "b")
-        links = tested.select("a", "b", "ta", "tb").mapInArrow(_exact(self.width, self.percent), "a bigint, b bigint")
-        return materialise(links.unionByName(likely.where("sure").select("a", "b")), "near-links")
+
+def _lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
+    """``value, gid``: classes under the rarest retained values they must share with a similar one."""
+    t = percent / 100
+    postings = classes.select("gid", "sketch").mapInArrow(_values, "gid bigint, value bigint")
+    held = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = postings.join(held.hint("merge"), "value")
+    ranked = shared.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by_df"))
+    must = F.when(F.col("n") <= math.floor(k * t), F.ceil(F.col("n") * F.lit(percent) / 100)).otherwise(F.lit(least_shared(t, k)))
+    sized = ranked.join(classes.select("gid", "n").hint("merge"), "gid").withColumn("prefix", (F.size("by_df") - must + 1).cast("int"))
+    rare = sized.where("prefix > 0").select("gid", F.explode(F.slice("by_df", F.lit(1), F.col("prefix"))).alias("x"))
+    return materialise(rare.select(F.col("x.value").alias("value"), "gid"), "near-lists")
+
+
+def _texts_of(base: DataFrame, classes: DataFrame, gids: DataFrame, width: int) -> DataFrame:
+    """``gid, packed``: a compressed text of each class.
+
+    Texts that surely are not wanted stay where they are: a Bloom filter of fixed
+    size over the wanted digests goes to all tasks. Where it is full it passes
+    everything, and the join alone decides, as it does in any case.
+    """
+    wanted = materialise(classes.select("gid", "digest").join(gids.hint("merge"), "gid", "left_semi"), "near-wanted")
+    bits = base.sparkSession.sparkContext.broadcast(_filter(wanted))
+    texts = base.select("text").mapInArrow(_packed_texts(width, bits), "digest binary, packed binary")
+    found = texts.join(wanted.hint("merge"), "digest").groupBy("gid").agg(F.first("packed").alias("packed"))
+    return materialise(found, "near-texts")
+
+
+def _filter(wanted: DataFrame) -> bytes:
+    """Bitmap of FILTER_BITS bits: a bit for each of two words of a digest. Parts of 4 KiB reach the driver, never the digests."""
+    word = lambda i: F.conv(F.hex(F.substring("digest", F.lit(4 * i + 1), F.lit(3))), 16, 10).cast("bigint") % FILTER_BITS + 1
+    spots = wanted.select(F.explode(F.array(word(0), word(1))).alias("p"))
+    part, bit = F.call_function("bitmap_bucket_number", F.col("p")), F.call_function("bitmap_bit_position", F.col("p"))
+    whole = bytearray(FILTER_BITS // 8)
+    for row in spots.groupBy(part.alias("part")).agg(F.call_function("bitmap_construct_agg", bit).alias("bitmap")).toLocalIterator():
+        start = (row["part"] - 1) * 4096
+        whole[start : start + 4096] = row["bitmap"]
+    return bytes(whole)
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
@@ -186,7 +259,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     sets; ``component_id`` is the smallest id reachable, ``kept`` whether it is the
     row's own. Texts without words link with nothing. Repeated rows are copies of
     themselves; null ids are never smallest unless a component has no other.
-    A pair at the threshold is missed with a probability of about 1e-8 (the chance
+    A pair at the threshold is missed with a probability of about 1e-7 (the chance
     that its sketches share too few values).
     """
     base = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -197,36 +270,21 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         .withColumn("gid", F.monotonically_increasing_id()),
         "near-classes",
     )
-    search = _Search(base, classes, width, percent, k)
-    lists = search.lists()
-    pivots = lists.groupBy("value").agg(F.min(F.struct("gid", "n")).alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    listed = lists.join(pivots, "value")
-    search.keep_texts(listed.select("gid").distinct())
-    near_size = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    star = (
-        listed.where((F.col("gid") != F.col("p.gid")) & near_size(F.col("n"), F.col("p.n")))
-        .groupBy(F.col("gid").alias("b"), F.col("p.gid").alias("a")).agg(F.count(F.lit(1)).alias("shared"))
-    )
-    # One pivot each: the one met in most lists, the smallest of those.
-    first = materialise(star.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b"), "near-star")
-    links = search.verify(first)
+    lists = _lists(classes, percent, k)
+    pivots = lists.groupBy("value").agg(F.min("gid").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").select("value", "pivot")
+    members = materialise(lists.join(pivots.hint("merge"), "value").select("pivot", "gid").distinct(), "near-members")
+    sketches = _together(_blocks(members).join(classes.select("gid", "n", "sketch").hint("merge"), "gid"))
+    likely = materialise(sketches.mapInArrow(_likely(percent, k), "pivot bigint, gid bigint").distinct(), "near-likely")
+    texts = _texts_of(base, classes, likely.select("gid").distinct(), width)
+    whole = _together(_blocks(likely).join(texts.hint("merge"), "gid"))
+    links = materialise(whole.mapInArrow(_linked(width, percent), "a bigint, b bigint").distinct(), "near-links")
     roots = connected_components(links).select(F.col("node").alias("gid"), "root")
-    apart = lists.join(roots, "gid", "left").withColumn("root", F.coalesce("root", "gid"))
-    mixed_lists = apart.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
-    apart = materialise(apart.join(mixed_lists, "value", "left_semi"), "near-apart")
-    x = apart.select("value", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = apart.select("value", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = x.join(y, "value").where((F.col("ra") < F.col("rb")) & near_size(F.col("na"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialise(rest.join(first, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        links = links.unionByName(search.verify(rest))
-        roots = connected_components(links).select(F.col("node").alias("gid"), "root")
-    named = classes.select("gid", "digest", "min_id").join(roots, "gid", "left").withColumn("root", F.coalesce("root", "gid"))
+    named = classes.select("gid", "digest", "min_id").join(roots.hint("merge"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
     named = materialise(named, "near-named")
     ids = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    by_digest = named.join(ids, "root").select("digest", "component_id")
+    by_digest = named.join(ids.hint("merge"), "root").select("digest", "component_id")
     return (
-        rows.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
+        rows.select("doc_id", "n_shingles", "digest").join(by_digest.hint("merge"), "digest", "left")
         .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
