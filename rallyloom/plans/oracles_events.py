@@ -74,7 +74,7 @@ st AS (
       SELECT *, CASE WHEN anchored THEN {_TOP.format(x=_REACH)} ELSE {_TOP.format(x="cs")} END AS b FROM (
         SELECT s.lf, s.lx, s.ly, x.clip, x.rn, x.f, x.cs, x.n1, x.n2, x.f - s.lf AS gap, coalesce(x.f - s.lf <= 15, false) AS anchored FROM st s JOIN fs x ON s.clip = x.clip AND x.rn = s.rn + 1)))
 )
-SELECT clip, f AS frame_idx, round_even(lx, 6) AS cx, round_even(ly, 6) AS cy FROM st WHERE hit"""
+SELECT clip, f AS frame_idx, floor(lx * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE AS cx, floor(ly * 1000000::DOUBLE + 0.5::DOUBLE) / 1000000::DOUBLE AS cy FROM st WHERE hit"""
 
 #: State: x v a on both axes and the upper triangle of the covariance.
 _STATE = "px, py, vx, vy, ax, ay, p0, p1, p2, p3, p4, p5"
@@ -114,16 +114,21 @@ fb AS (SELECT clip, f, px AS cx, py AS cy, false AS is_interpolated FROM trk UNI
          py + (ny - py) * (t::DOUBLE / (nf - f)) + CASE WHEN is_contact OR nc THEN 0::DOUBLE ELSE 0.5::DOUBLE * ay * t * (t - (nf - f)) END, true
   FROM (SELECT *, unnest(range(1, nf - f)) AS t FROM nb WHERE nf - f > 1 AND nf - f <= 15))"""
 
+def fixed(x: str, digits: int) -> str:
+    """Half up on the binary value, as the queries do it."""
+    return f"floor({x} * {10**digits}::DOUBLE + 0.5::DOUBLE) / {10**digits}::DOUBLE"
+
+
 ORACLES: dict[str, str] = {
     "ball_contacts": f"WITH {BALL}, {CONTACTS} SELECT clip, f AS frame_idx, cy FROM con",
-    "court_positions": f"WITH {BALL}, {COURT} SELECT clip, f AS frame_idx, round_even(x, 6) AS x, round_even(y, 6) AS y FROM court",
+    "court_positions": f"WITH {BALL}, {COURT} SELECT clip, f AS frame_idx, {fixed('x', 6)} AS x, {fixed('y', 6)} AS y FROM court",
     "net_crossings": f"WITH {BALL}, {COURT}, {CROSSINGS} SELECT clip, f AS frame_idx FROM cross_",
     "rallies": f"{BASE} SELECT * FROM ral",
     "rally_seconds": f"{BASE} SELECT clip, rally_id, round_even(start_frame::DOUBLE / 29.97::DOUBLE, 2) AS start_s, round_even(end_frame::DOUBLE / 29.97::DOUBLE, 2) AS end_s FROM ral",
     "in_play_frames": f"{BASE} SELECT DISTINCT clip, unnest(range(start_frame, end_frame + 1)) AS frame_idx FROM ral",
-    "touches": f"{FULL}, {TOUCHES} SELECT clip, f AS frame_idx, track_id, round_even(d, 6) AS distance_m FROM tch",
-    "stationary_tracks": f"WITH {BALL}, {FEET}, {STILL} SELECT clip, track_id, n, round_even(extent, 6) AS extent FROM still",
-    "active_positions": f"WITH {BALL}, {FEET}, {STILL}, {PLAYERS} SELECT clip, f AS frame_idx, track_id, round_even(x, 6) AS x, round_even(y, 6) AS y FROM act",
+    "touches": f"{FULL}, {TOUCHES} SELECT clip, f AS frame_idx, track_id, {fixed('d', 6)} AS distance_m FROM tch",
+    "stationary_tracks": f"WITH {BALL}, {FEET}, {STILL} SELECT clip, track_id, n, {fixed('extent', 6)} AS extent FROM still",
+    "active_positions": f"WITH {BALL}, {FEET}, {STILL}, {PLAYERS} SELECT clip, f AS frame_idx, track_id, {fixed('x', 6)} AS x, {fixed('y', 6)} AS y FROM act",
     "zone_occupancy": f"{FULL}, {ZONES} SELECT clip, track_id, zone, n FROM zo",
     "zone_occupancy_wide": f"{FULL}, {ZONES} SELECT clip, track_id, " + ", ".join(f"coalesce(sum(n) FILTER (zone = {z}), 0)::BIGINT AS zone_{z}" for z in range(1, 7)) + " FROM zo GROUP BY 1, 2",
     "match_stats_summary": f"""{FULL}, {ZONES}, {TOUCHES}, c AS (SELECT clip, min(f) AS first_frame, max(f) AS last_frame FROM fr GROUP BY 1),
@@ -132,10 +137,10 @@ t AS (SELECT clip, count(*) AS touches, round_even(sum(round_even(d, 2)), 4) AS
 s AS (SELECT clip, string_agg(track_id::VARCHAR, ',' ORDER BY track_id) AS excluded FROM still GROUP BY 1)
 SELECT c.clip, 'clip_' || c.clip || '.mp4' AS video, first_frame, last_frame, rallies, crossings, end_s, touches, distance_m, players, excluded
 FROM c LEFT JOIN r ON c.clip = r.clip LEFT JOIN t ON c.clip = t.clip LEFT JOIN z ON c.clip = z.clip LEFT JOIN s ON c.clip = s.clip""",
-    "linear_gap_fill": f"WITH {OBS}, {LINEAR} SELECT clip, f AS frame_idx, round_even(cx, 6) AS cx, round_even(cy, 6) AS cy, is_interpolated FROM fil",
+    "linear_gap_fill": f"WITH {OBS}, {LINEAR} SELECT clip, f AS frame_idx, {fixed('cx', 6)} AS cx, {fixed('cy', 6)} AS cy, is_interpolated FROM fil",
     "heuristic_track": HEURISTIC,
-    "kalman_track": f"{TRACKED} SELECT clip, f AS frame_idx, round_even(px, 4) AS px, round_even(py, 4) AS py, round_even(vx, 4) AS vx, round_even(vy, 4) AS vy, is_contact FROM trk",
-    "ballistic_gap_fill": f"{TRACKED}, {BALLISTIC} SELECT clip, f AS frame_idx, round_even(cx, 4) AS cx, round_even(cy, 4) AS cy, is_interpolated FROM fb",
+    "kalman_track": f"{TRACKED} SELECT clip, f AS frame_idx, {fixed('px', 4)} AS px, {fixed('py', 4)} AS py, {fixed('vx', 4)} AS vx, {fixed('vy', 4)} AS vy, is_contact FROM trk",
+    "ballistic_gap_fill": f"{TRACKED}, {BALLISTIC} SELECT clip, f AS frame_idx, {fixed('cx', 4)} AS cx, {fixed('cy', 4)} AS cy, is_interpolated FROM fb",
     "track_coverage": f"{TRACKED}, {BALLISTIC} SELECT clip, count(*) FILTER (NOT is_interpolated) AS real, count(*) FILTER (is_interpolated) AS interpolated FROM fb GROUP BY 1",
     "overlay_markers": f"{TRACKED}, {BALLISTIC} SELECT clip, f AS frame_idx, round_even(cx, 0)::INT AS mx, round_even(cy, 0)::INT AS my, NOT is_interpolated AS filled FROM fb",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyloom.functions.geometry import half_even, lit, seconds
+from rallyloom.functions.geometry import fixed, half_even, lit, seconds
 from rallyloom.operators import events as ev
 from rallyloom.operators import gapfill, stats, tracking
 from rallyloom.plans import adapters as ad
@@ -29,7 +29,7 @@ def ball_contacts(spark, d):
 
 
 def court_positions(spark, d):
-    return _court(spark, d).select("clip", "frame_idx", half_even(F.col("x"), 6).alias("x"), half_even(F.col("y"), 6).alias("y"))
+    return _court(spark, d).select("clip", "frame_idx", fixed(F.col("x"), 6).alias("x"), fixed(F.col("y"), 6).alias("y"))
 
 
 def net_crossings(spark, d):
@@ -51,16 +51,16 @@ def in_play_frames(spark, d):
 
 def touches(spark, d):
     contacts = ev.in_play(ev.ball_contacts(ad.ball(spark, d)), _rallies(spark, d))
-    return stats.touches(contacts, _court(spark, d), _players(spark, d)).withColumn("distance_m", half_even(F.col("distance_m"), 6))
+    return stats.touches(contacts, _court(spark, d), _players(spark, d)).withColumn("distance_m", fixed(F.col("distance_m"), 6))
 
 
 def stationary_tracks(spark, d):
-    return stats.stationary_tracks(ad.feet(spark, d)).withColumn("extent", half_even(F.col("extent"), 6))
+    return stats.stationary_tracks(ad.feet(spark, d)).withColumn("extent", fixed(F.col("extent"), 6))
 
 
 def active_positions(spark, d):
     found = stats.active_positions(ad.feet(spark, d), ad.homographies(spark))
-    return found.select("clip", "frame_idx", "track_id", half_even(F.col("x"), 6).alias("x"), half_even(F.col("y"), 6).alias("y"))
+    return found.select("clip", "frame_idx", "track_id", fixed(F.col("x"), 6).alias("x"), fixed(F.col("y"), 6).alias("y"))
 
 
 def zone_occupancy(spark, d):
@@ -91,16 +91,16 @@ def match_stats_summary(spark, d):
 
 def linear_gap_fill(spark, d):
     filled = gapfill.fill_linear(ad.observed(spark, d))
-    return filled.withColumns({c: half_even(F.col(c), 6) for c in ("cx", "cy")})
+    return filled.withColumns({c: fixed(F.col(c), 6) for c in ("cx", "cy")})
 
 
 def heuristic_track(spark, d):
-    return tracking.heuristic_track(ad.candidates(spark, d)).withColumns({c: half_even(F.col(c), 6) for c in ("cx", "cy")})
+    return tracking.heuristic_track(ad.candidates(spark, d)).withColumns({c: fixed(F.col(c), 6) for c in ("cx", "cy")})
 
 
 def kalman_track(spark, d):
     states = tracking.kalman_track(ad.candidates(spark, d))
-    return states.select("clip", "frame_idx", *[half_even(F.col(c), 4).alias(c) for c in ("px", "py", "vx", "vy")], "is_contact")
+    return states.select("clip", "frame_idx", *[fixed(F.col(c), 4).alias(c) for c in ("px", "py", "vx", "vy")], "is_contact")
 
 
 def _filled(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +108,7 @@ def _filled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ballistic_gap_fill(spark, d):
-    return _filled(spark, d).withColumns({c: half_even(F.col(c), 4) for c in ("cx", "cy")})
+    return _filled(spark, d).withColumns({c: fixed(F.col(c), 4) for c in ("cx", "cy")})
 
 
 def track_coverage(spark, d):

@@ -1,6 +1,11 @@
 """All queries and their SQL, by name."""
 
-from rallyloom.plans import oracles_curation, oracles_events, queries_curation, queries_events
+from rallyloom.plans import oracles_curation, oracles_events, queries_curation, queries_events, queries_streaming
 
-QUERIES = {**queries_events.QUERIES, **queries_curation.QUERIES}
-ORACLES = {**oracles_events.ORACLES, **oracles_curation.ORACLES}
+QUERIES = {**queries_events.QUERIES, **queries_curation.QUERIES, **queries_streaming.QUERIES}
+#: A drained stream of whole sessions holds what the batch query holds, without numbers.
+ORACLES = {
+    **oracles_events.ORACLES,
+    **oracles_curation.ORACLES,
+    "streaming_rallies": f"{oracles_events.BASE} SELECT clip, start_frame, end_frame, net_crossings FROM ral",
+}
