@@ -7,11 +7,10 @@ documents of a source, with l the root of exp(l) * size - target. Newton steps
 find it. The steps run as column expressions over the table of sources, so they
 are distributed by source and need the documents only once, for the sums.
 
-Rates are then rounded into copies. Whole copies come first; what is left of a
-rate is given to whole documents, size by size from the longest down, carrying
+Rates are then rounded into copies, size by size from the longest down, carrying
 the remainder to the next shorter size, so a source ends within about half its
-shortest document of its target. Which documents of equal size get the extra copy
-is decided by a hash of the id.
+shortest document of its target. Which documents of equal size get the one copy
+more is decided by a hash of the id.
 """
 
 from __future__ import annotations
@@ -74,28 +73,39 @@ def newton_rates(targets: DataFrame, params: MixParams = MixParams()) -> DataFra
     return targets.withColumn("rate", F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.exp(root)).otherwise(F.lit(0.0)))
 
 
-def _extra_copies(rates: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``source, size, base, extra``: of the ``n`` documents of a source and size, how many get one copy more.
+def _group_copies(rates: DataFrame, sizes: DataFrame, params: MixParams) -> DataFrame:
+    """``source, size, total``: copies that the ``n`` documents of a source and size get together.
 
-    The fold runs over the distinct sizes of one source (their number is bounded by
-    the longest document, not by the number of documents).
+    The fold runs over the distinct sizes of one source, the longest first (their
+    number is bounded by the longest document, not by the number of documents). It
+    rounds to the nearest copy, but never leaves more to the shorter sizes than
+    they can take, or less than nothing, where that can be helped.
     """
+    rate = F.round("rate", 12)  # Newton's last digit must not decide a whole copy
+    known = rates.select(F.col("source").alias("_s"), rate.alias("rate"))
+    joined = sizes.join(known, F.col("source").eqNullSafe(F.col("_s"))).where("size > 0")
+    words = F.col("n") * F.col("size")
+    shorter = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    items = joined.select("source", "size", "n", (F.col("rate") * words).alias("want"), (params.most * words).alias("most")).select(
+        "source", "size", "n", "want", F.coalesce(F.sum("want").over(shorter), F.lit(0.0)).alias("low"),
+        F.coalesce(F.sum("most").over(shorter), F.lit(0)).alias("_most"),
+    )
+    items = items.withColumn("high", F.col("_most") - F.col("low"))
+    ordered = items.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n", "want", "low", "high")), asc=False).alias("items"))
     fold = lambda acc, x: F.struct(
-        F.concat(acc["out"], F.array(F.struct(x["size"].alias("size"), _given(acc, x).alias("extra")))).alias("out"),
-        (acc["carry"] + x["want"] - _given(acc, x) * x["size"]).alias("carry"),
+        F.concat(acc["out"], F.array(F.struct(x["size"].alias("size"), _given(acc, x, params).alias("total")))).alias("out"),
+        (acc["carry"] + x["want"] - _given(acc, x, params) * x["size"]).alias("carry"),
     )
-    rate = F.round("rate", 12)  # Newton's last digit must not decide a whole copy
-    joined = sizes.join(rates.select("source", rate.alias("rate")).withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).where("size > 0")
-    base = F.floor("rate")
-    items = joined.select("source", "size", "n", base.alias("base"), ((F.col("rate") - base) * F.col("n") * F.col("size")).alias("want"))
-    ordered = items.groupBy("source").agg(F.max("base").alias("base"), F.sort_array(F.collect_list(F.struct("size", "n", "want")), asc=False).alias("items"))
-    empty = F.struct(F.array().cast("array<struct<size:bigint,extra:bigint>>").alias("out"), F.lit(0.0).alias("carry"))
-    folded = ordered.select("source", "base", F.explode(F.aggregate("items", empty, fold)["out"]).alias("x"))
-    return folded.select("source", "base", F.col("x.size").alias("size"), F.col("x.extra").alias("extra"))
+    empty = F.struct(F.array().cast("array<struct<size:bigint,total:bigint>>").alias("out"), F.lit(0.0).alias("carry"))
+    folded = ordered.select("source", F.explode(F.aggregate("items", empty, fold)["out"]).alias("x"))
+    return folded.select("source", F.col("x.size").alias("size"), F.col("x.total").alias("total"))
 
 
-def _given(acc: Column, x: Column) -> Column:
-    return F.least(F.greatest(F.floor((acc["carry"] + x["want"]) / x["size"] + 0.5), F.lit(0)), x["n"]).cast("bigint")
+def _given(acc: Column, x: Column, params: MixParams) -> Column:
+    due = acc["carry"] + x["want"]
+    nearest = F.floor(due / x["size"] + 0.5)
+    within = F.least(F.greatest(nearest, F.ceil((due - x["high"]) / x["size"])), F.greatest(F.floor((due + x["low"]) / x["size"]), F.lit(0)))
+    return F.least(F.greatest(within, F.lit(0)), params.most * x["n"]).cast("bigint")
 
 
 def mix_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", params: MixParams = MixParams()) -> DataFrame:
@@ -109,7 +119,7 @@ def mix_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     docs = materialise(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size")), "mix-sizes")
     rates = materialise(newton_rates(source_targets(docs, params), params), "mix-rates")
     sizes = docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    extra = _extra_copies(rates, sizes)
+    totals = _group_copies(rates, sizes, params)
     # Documents of one source and size are ranked inside salts; a salt's share of the
     # extra copies follows from the counts of the salts before it.
     salts = max(1, docs.count() // params.rank_rows)
@@ -120,12 +130,13 @@ def mix_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     cells = cells.withColumn("n", F.sum("m").over(Window.partitionBy("source", "size")))
     null_safe = lambda a, b, on: [a[k].eqNullSafe(b[f"_{k}"]) for k in on]
     renamed = lambda x, on: x.select(*[F.col(k).alias(f"_{k}") for k in on], *[c for c in x.columns if c not in on])
-    more = renamed(extra, ["source", "size"])
+    more = renamed(totals, ["source", "size"])
     cells = cells.join(more, null_safe(cells, more, ["source", "size"]))
+    cells = cells.withColumn("base", F.floor(F.col("total") / F.col("n"))).withColumn("extra", F.col("total") - F.col("base") * F.col("n"))
     part = lambda c: F.floor(c * F.col("extra") / F.col("n"))
     cells = cells.select(*keys, "base", (part(F.col("upto")) - part(F.col("upto") - F.col("m"))).alias("share"))
     cells = renamed(cells, keys)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
     ranked = salted.withColumn("place", place)
     ranked = ranked.join(cells, null_safe(ranked, cells, keys), "left")
     copies = F.coalesce(F.col("base") + (F.col("place") <= F.col("share")).cast("bigint"), F.lit(0)).cast("bigint")

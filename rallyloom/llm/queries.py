@@ -181,4 +181,44 @@ SELECT conv_id, turn, role,
 FROM x
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_url_filters": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_lm_scores": OP9_SQL, "op10_chat_formatting": OP10_SQL}
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s1 AS (SELECT source, ss, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY 1)),
+s2 AS (SELECT *, 3 * ss AS cap, row_number() OVER (ORDER BY 3 * ss / w::DOUBLE, source NULLS LAST) AS k FROM s1),
+s3 AS (SELECT *, (sum(ss) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+              / (sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS share FROM s2),
+sh AS (SELECT min_by(share, k) FILTER (w * share <= cap) AS share FROM s3),
+t AS (SELECT source, ss, least(w * coalesce(share, 1e300), cap::DOUBLE) AS target FROM s2, sh),
+r AS (SELECT *, CASE WHEN ss > 0 THEN round(target / ss, 12) ELSE 0::DOUBLE END AS rate FROM t),
+z AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY 1, 2),
+q AS (SELECT z.source, size, n, rate * (n * size) AS want, 3 * n * size AS most FROM z JOIN r ON z.source IS NOT DISTINCT FROM r.source),
+i AS (SELECT *, coalesce(sum(want) OVER w, 0) AS low, coalesce(sum(most) OVER w, 0) AS m, row_number() OVER (PARTITION BY source ORDER BY size DESC) AS rn FROM q
+      WINDOW w AS (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT source, 0::BIGINT AS rn, 0::BIGINT AS size, 1::BIGINT AS n, 0::BIGINT AS total, 0::DOUBLE AS carry FROM (SELECT DISTINCT source FROM i)
+  UNION ALL
+  SELECT source, rn, size, n, k, due - k * size FROM (
+    SELECT *, least(greatest(least(greatest(floor(due / size + 0.5::DOUBLE), ceil((due - (m - low)) / size)), greatest(floor((due + low) / size), 0)), 0), 3 * n)::BIGINT AS k
+    FROM (SELECT i.*, f.carry + i.want AS due FROM f JOIN i ON f.source IS NOT DISTINCT FROM i.source AND i.rn = f.rn + 1))),
+p AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source, size ORDER BY md5(doc_id::VARCHAR), doc_id) AS place FROM d)
+SELECT p.doc_id, p.size, r.ss AS source_size, round_even(r.target, 6) AS target,
+       (coalesce(total // n + CASE WHEN place <= total % n THEN 1 ELSE 0 END, 0) * p.size)::BIGINT AS taken
+FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source LEFT JOIN f ON p.source IS NOT DISTINCT FROM f.source AND p.size = f.size AND f.rn > 0
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE a AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END) AS g FROM a),
+c AS (SELECT g, len(g) AS n, min(doc_id) AS m FROM s WHERE len(g) > 0 GROUP BY g),
+u AS (SELECT m, n, unnest(g) AS x FROM c),
+o AS (SELECT *, count(*) OVER (PARTITION BY x) AS df FROM u),
+p AS (SELECT m, n, x FROM o QUALIFY row_number() OVER (PARTITION BY m ORDER BY df, x) <= n - (80 * n + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT x.m AS a, y.m AS b FROM p x JOIN p y ON x.x = y.x AND x.m < y.m WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+l AS (SELECT a, b FROM (SELECT a, b, x.n + y.n AS t, len(list_intersect(x.g, y.g)) AS k FROM pairs JOIN c x ON a = x.m JOIN c y ON b = y.m) WHERE 100 * k >= 80 * (t - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT m AS node, m AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a),
+k AS (SELECT node, min(root) AS component FROM r GROUP BY 1)
+SELECT doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM s LEFT JOIN c ON s.g = c.g LEFT JOIN k ON c.m = k.node
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_source_mixing": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op6_url_filters": OP6_SQL, "op7_quality_rules": OP7_SQL, "op8_near_dedup": OP8_SQL, "op9_lm_scores": OP9_SQL, "op10_chat_formatting": OP10_SQL}
