@@ -1,5 +1,7 @@
 """DuckDB SQL of the curation, label, quality and calibration queries."""
 
+from rallyloom.plans.oracles_events import BALL
+
 SIG = """sg AS (SELECT vec_id % 4 AS clip, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1 AS f, embedding::DOUBLE[] AS e FROM embeddings),
 raw AS (SELECT clip, f, coalesce(list_sum(list_transform(list_zip(e, p), lambda z: abs(z[1] - z[2]))) / len(e), 0::DOUBLE) AS r FROM (SELECT *, lag(e) OVER (PARTITION BY clip ORDER BY f) AS p FROM sg)),
 chg AS (SELECT clip, f, round_even(r, 8) AS s FROM raw),
@@ -41,6 +43,20 @@ POINTS = "(VALUES ('baseline_near_left', 0, 0), ('baseline_near_right', 9, 0), (
 FRAME = "source || '/' || printf('frame_%05d.jpg', doc_id)"
 STEM = "source || '_' || printf('frame_%05d', doc_id)"
 
+
+
+def _raw_py(y: str) -> str:
+    return f"(({y} + 6) / (0.04::DOUBLE - 0.0002::DOUBLE * {y}))"
+
+
+def _py(y: str) -> str:
+    return f"floor({_raw_py(y)} * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE"
+
+
+def _px(x: str, y: str) -> str:
+    return f"floor((({x} * (0.0002::DOUBLE * {_raw_py(y)} + 1) + 2) / 0.01::DOUBLE) * 1000::DOUBLE + 0.5::DOUBLE) / 1000::DOUBLE"
+
+
 ORACLES: dict[str, str] = {
     "motion_scores": f"WITH {SIG} SELECT clip, f AS frame_idx, s AS score FROM mot",
     "change_scores": f"WITH {SIG} SELECT clip, f AS frame_idx, s AS raw FROM chg",
@@ -86,4 +102,8 @@ UNION ALL SELECT doc_id, 'ball', doc_id % 1000 + 0.5::DOUBLE, doc_id % 500 + 0.5
     "verify_frames": """WITH a AS (SELECT doc_id AS n, doc_id % 11 = 0 AS bad FROM documents), b AS (SELECT n, bad, CASE WHEN NOT bad THEN n % 2 = 0 END AS ball_visible, CASE WHEN NOT bad THEN ['high', 'medium', 'low'][n % 3 + 1] END AS confidence, (NOT bad AND n % 4 = 0) AS has_bbox FROM a)
 SELECT n AS frame_id, ball_visible, confidence, has_bbox, CASE WHEN bad THEN 'no answer' END AS error,
 CASE WHEN bad OR confidence = 'low' THEN 'tier3' WHEN ball_visible AND has_bbox THEN 'tier2_positive' WHEN NOT ball_visible THEN 'tier2_negative' ELSE 'tier3' END AS tier FROM b""",
+    "frame_range": f"WITH {BALL} SELECT clip, f AS frame_idx, cx FROM ball WHERE f BETWEEN 100 AND 299",
+    "sampled_frames": f"WITH {SAMPLES}, {BALL} SELECT clip, f AS frame_idx FROM ball SEMI JOIN (SELECT clip, m + floor(k * (total - 2 * m) / 39::DOUBLE)::BIGINT AS f FROM mar, range(40) t(k)) w ON ball.clip = w.clip AND ball.f = w.f",
+    "court_lines": f"""WITH l(line, x1, y1, x2, y2) AS (VALUES ('left sideline', 0, 0, 0, 18), ('right sideline', 9, 0, 9, 18), ('near baseline', 0, 0, 9, 0), ('far baseline', 0, 18, 9, 18), ('net', 0, 9, 9, 9), ('near attack line', 0, 3, 9, 3), ('far attack line', 0, 15, 9, 15))
+SELECT clip, line, {_px("x1", "y1")} AS px1, {_py("y1")} AS py1, {_px("x2", "y2")} AS px2, {_py("y2")} AS py2 FROM l, range(4) c(clip)""",
 }

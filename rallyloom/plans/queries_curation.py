@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rallyloom.functions import geometry as geo
 from rallyloom.functions import naming
 from rallyloom.functions.geometry import half_even, lit
-from rallyloom.operators import calibration, curation, external, labels, players, quality, tracking
+from rallyloom.operators import calibration, curation, external, frames, labels, players, quality, tracking
 from rallyloom.params import CurationParams
 from rallyloom.plans import adapters as ad
 
@@ -255,12 +255,26 @@ def verify_frames(spark, d):
     return tiers.select("frame_id", "ball_visible", "confidence", "has_bbox", "error", "tier")
 
 
+def frame_range(spark, d):
+    return frames.frame_range(ad.ball(spark, d), 100, 200).select("clip", "frame_idx", "cx")
+
+
+def sampled_frames(spark, d):
+    total = ad.table(spark, d, "events").groupBy((F.col("user_id") % 4).alias("clip")).agg(F.count(F.lit(1)).alias("total"))
+    return frames.sampled(ad.ball(spark, d), total, 40).select("clip", "frame_idx")
+
+
+def court_lines(spark, d):
+    lines = frames.court_lines(spark, ad.homographies(spark))
+    return lines.select("clip", "line", *[geo.fixed(F.col(c), 3).alias(c) for c in ("px1", "py1", "px2", "py2")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         motion_scores, change_scores, positives_spaced, change_events_topk, event_probe, fp_hotspots, fp_negatives, random_negatives, round2_candidates, stratified_split,
         interleaved_manifest, manifest_counts, candidate_union, unlabelled, labelled_images, scan_exclusion, frame_names, bootstrap_tiers, tier_counts, precision_recall,
         counts_per_frame, split_leakage, best_candidate, box_geometry, drawn_boxes, yolo_labels, ellipse_polygons, sample_indices, video_summary, homography_reprojection,
-        player_tracks, player_track_counts, detect_frames, verify_frames,
+        player_tracks, player_track_counts, detect_frames, verify_frames, frame_range, sampled_frames, court_lines,
     )
 }
