@@ -17,7 +17,7 @@ def _stem(path_column: str, suffix: str) -> Column:
 
 def _whole_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """``path, value``: one row a file. A file is one clip's or one frame's, so it fits a row."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
@@ -89,7 +89,7 @@ def stats_json(documents: DataFrame) -> DataFrame:
 
 def read_labels(spark: SparkSession, path: str, images: DataFrame | None = None) -> DataFrame:
     """``split, stem, line_no, cls, xc, yc, w, h`` of ``<split>/labels/<stem>.txt``; an empty file has no rows."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     parts = files.select(F.regexp_extract("path", r"([^/]+)/labels/", 1).alias("split"), _stem("path", r"\.txt").alias("stem"), F.posexplode(F.split(F.trim("value"), r"\s*\n\s*")).alias("line_no", "line"))
     tokens = parts.where("line <> ''").withColumn("t", F.split("line", r"\s+"))
     rows = tokens.select("split", "stem", "line_no", F.col("t")[0].cast("int").alias("cls"), *[F.col("t")[i + 1].cast("double").alias(c) for i, c in enumerate(("xc", "yc", "w", "h"))])
