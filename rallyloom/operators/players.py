@@ -186,8 +186,8 @@ def player_tracks(detections: DataFrame, fps: float, params: PlayerParams = Play
     rounded to single precision, as trackers of this kind hold them.
     """
     box = F.struct("ord", *[F.col(c).cast("float").cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], "confidence")
-    frames = detections.groupBy("clip", "frame_idx").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
-    ordered = frames.repartition("clip").sortWithinPartitions("clip", "frame_idx")
+    frames = detections.repartition("clip").groupBy("clip", "frame_idx").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
+    ordered = frames.sortWithinPartitions("clip", "frame_idx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clip, fold, last = None, None, None
