@@ -54,7 +54,8 @@ def _split(rows: DataFrame, groups: DataFrame, keys: list[str], level: int) -> D
     """Rows with their group of this level; bytes stay only with rows that go on.
 
     A hot digit is a skewed side against one row of the other: adaptive execution
-    splits it. The join is a sort-merge join at every size, never a broadcast.
+    splits it. The join is a sort-merge join at every size, never a broadcast, so
+    what it moves follows the input from the smallest on.
     """
     alone = F.col("size").isNull()
     done = alone | F.col("ended")
