@@ -23,15 +23,43 @@ STD_POSITION, STD_VELOCITY = 1 / 20, 1 / 160
 
 
 def assign(cost: np.ndarray, limit: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
-    """Pairs of least total cost, none above the limit; unmatched rows and columns (shortest augmenting paths)."""
+    """Pairs of least total cost, none above the limit; unmatched rows and columns.
+
+    Rows and columns that no chain of feasible pairs joins do not compete, so each
+    such group is solved alone: the work follows the groups, not all tracks held.
+    """
     n, m = cost.shape
     if not n or not m:
         return [], [*range(n)], [*range(m)]
-    feasible = cost <= limit
-    if feasible.sum(0).max() <= 1 and feasible.sum(1).max() <= 1:  # nothing competes
-        pairs = [(int(a), int(b)) for a, b in np.argwhere(feasible)]
-        rows, columns = {a for a, _ in pairs}, {b for _, b in pairs}
-        return pairs, [i for i in range(n) if i not in rows], [j for j in range(m) if j not in columns]
+    open_rows: dict[int, list[int]] = {}
+    by_column: dict[int, list[int]] = {}
+    for i, j in np.argwhere(cost <= limit).tolist():
+        open_rows.setdefault(i, []).append(j)
+        by_column.setdefault(j, []).append(i)
+    pairs: list[tuple[int, int]] = []
+    seen: set[int] = set()
+    for first in open_rows:
+        if first in seen:
+            continue
+        rows, columns, todo = {first}, set(), [first]
+        while todo:
+            for j in open_rows[todo.pop()]:
+                if j not in columns:
+                    columns.add(j)
+                    fresh = set(by_column[j]) - rows
+                    rows |= fresh
+                    todo += fresh
+        seen |= rows
+        r, c = sorted(rows), sorted(columns)
+        some = [(0, 0)] if len(r) == len(c) == 1 else _least_pairs(cost[np.ix_(r, c)], limit)
+        pairs += [(r[a], c[b]) for a, b in some]
+    rows, columns = {a for a, _ in pairs}, {b for _, b in pairs}
+    return sorted(pairs), [i for i in range(n) if i not in rows], [j for j in range(m) if j not in columns]
+
+
+def _least_pairs(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """Pairs of least total cost (shortest augmenting paths)."""
+    n, m = cost.shape
     size = n + m  # a row may stay alone for half the limit, as may a column
     full = np.full((size, size), limit / 2)
     full[:n, :m] = np.where(cost > limit, 1e6, cost)
@@ -58,9 +86,7 @@ def assign(cost: np.ndarray, limit: float) -> tuple[list[tuple[int, int]], list[
                 break
         while j0:
             owner[j0], j0 = owner[way[j0]], way[j0]
-    pairs = [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j] - 1 < n and cost[owner[j] - 1, j - 1] <= limit]
-    rows, columns = {a for a, _ in pairs}, {b for _, b in pairs}
-    return sorted(pairs), [i for i in range(n) if i not in rows], [j for j in range(m) if j not in columns]
+    return [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j] - 1 < n and cost[owner[j] - 1, j - 1] <= limit]
 
 
 def overlap_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
