@@ -120,10 +120,13 @@ def mix_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     rates = materialise(newton_rates(source_targets(docs, params), params), "mix-rates")
     sizes = docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     totals = _group_copies(rates, sizes, params)
-    # Documents of one source and size are ranked inside salts; a salt's share of the
-    # extra copies follows from the counts of the salts before it.
+    # Documents of one source and size are ranked by md5 inside salts, which are ranges
+    # of the same order: a row's place is the rows of earlier salts and its rank in its own.
     salts = max(1, docs.count() // params.rank_rows)
-    salted = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(salts)))
+    digest = F.md5(F.col("doc_id").cast("string"))
+    lead = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    salt = F.coalesce(F.floor(lead * F.lit(salts) / F.lit(float(1 << 32))), F.lit(salts)).cast("bigint")  # null ids come last
+    salted = docs.withColumn("salt", salt)
     keys = ["source", "size", "salt"]
     upto = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cells = salted.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).withColumn("upto", F.sum("m").over(upto))
@@ -133,13 +136,13 @@ def mix_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     more = renamed(totals, ["source", "size"])
     cells = cells.join(more, null_safe(cells, more, ["source", "size"]))
     cells = cells.withColumn("base", F.floor(F.col("total") / F.col("n"))).withColumn("extra", F.col("total") - F.col("base") * F.col("n"))
-    part = lambda c: F.floor(c * F.col("extra") / F.col("n"))
-    cells = cells.select(*keys, "base", (part(F.col("upto")) - part(F.col("upto") - F.col("m"))).alias("share"))
+    cells = cells.select(*keys, "base", "extra", (F.col("upto") - F.col("m")).alias("earlier"))
     cells = renamed(cells, keys)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    ranked = salted.withColumn("place", place)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(digest.asc_nulls_last(), "doc_id"))
+    ranked = salted.withColumn("rank", rank)
     ranked = ranked.join(cells, null_safe(ranked, cells, keys), "left")
-    copies = F.coalesce(F.col("base") + (F.col("place") <= F.col("share")).cast("bigint"), F.lit(0)).cast("bigint")
+    place = F.col("earlier") + F.col("rank")
+    copies = F.coalesce(F.col("base") + (place <= F.col("extra")).cast("bigint"), F.lit(0)).cast("bigint")
     ranked = ranked.select("doc_id", "source", "size", copies.alias("copies"))
     known = renamed(rates, ["source"])
     return ranked.join(known, ranked["source"].eqNullSafe(known["_source"])).select(
