@@ -7,7 +7,8 @@
    its rarest ones (prefix filter); what every text holds lists nobody.
 3. Lists with the same smallest member are one group. A group's sketches meet in
    one task, which counts overlaps of all of them at once and keeps the members
-   that the union sketch finds likely to have a partner. No pair is emitted.
+   that share enough retained values with another (a bound; the bottom-k of the
+   union is not formed, so more texts go to step 4). No pair is emitted.
 4. The kept members' full sets, made from their texts, meet in the same way; exact
    Jaccard decides, and a task emits only a spanning forest of its links.
 
