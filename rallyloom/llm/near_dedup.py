@@ -5,15 +5,17 @@
 2. Inverted lists of retained values generate candidates. Two sets that are
    similar enough share many retained values, so each class is listed only under
    its rarest ones (prefix filter); what every text holds lists nobody.
-3. Lists with the same smallest member are one group. A group's sketches meet in
-   one task, which counts overlaps of all of them at once and keeps the members
-   that share enough retained values with another (a bound; the bottom-k of the
-   union is not formed, so more texts go to step 4). No pair is emitted.
+3. Lists with the same smallest member, the pivot, are one group, cut into blocks of
+   bounded members and shingles. A block's sketches and the pivot's meet in one
+   task. Pairs with few shared values are ruled out all at once; the k smallest
+   values of the union of two sketches then estimate their similarity, and a member
+   is kept if it has a likely partner. No pair is emitted.
 4. The kept members' full sets, made from their texts, meet in the same way; exact
    Jaccard decides, and a task emits only a spanning forest of its links.
-
-Groups above ``BLOCK`` members are cut into blocks, and every two blocks meet in a
-task of their own, so a task holds at most two blocks.
+5. In a group of more than one block, members that are exactly linked with the
+   pivot, directly or through their block, are one component already. Only the
+   others still meet the members of other blocks, by steps 3 and 4 again. So a large
+   group of near copies costs work in proportion to its members.
 """
 
 from __future__ import annotations
@@ -24,18 +26,18 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyloom.llm.common import materialise
+from rallyloom.llm.common import discard, keyed, materialise, named, without
 from rallyloom.llm.components import connected_components
 from rallyloom.llm.windows import window_hashes, word_ids
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Standard deviations by which a similar pair's shared values may fall below their mean.
 MARGIN = 5.5
-#: Members of a block; a task compares two blocks at most.
-BLOCK = 512
+#: Members and shingles of a block, about; a task compares two blocks at most.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 #: Bits of the filter that spares texts a shuffle (2 MiB; two of 24-bit words).
 FILTER_BITS = 1 << 24
 
@@ -69,7 +71,10 @@ def _sketches(width: int, k: int):
                 sketches.append(None if digest is None or digest in seen else values[:k].tobytes())
                 if len(seen) < 1_000_000:
                     seen.add(digest)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
+                ["key", "doc_id", "n_shingles", "digest", "sketch"],
+            )
 
     return run
 
@@ -155,33 +160,53 @@ def _near_size(n: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
 
 
+def _union_shared(x: np.ndarray, y: np.ndarray, k: int) -> int:
+    """Values that both sketches hold among the k smallest of their union."""
+    both = np.union1d(x, y)[:k]
+    return int(np.isin(np.intersect1d(x, y, assume_unique=True), both, assume_unique=True).sum())
+
+
 def _likely(percent: int, k: int):
-    """Members of each group that share enough retained values with another member."""
+    """Members of each group whose similarity with another member is estimated as high enough."""
     t = percent / 100
     low, whole = least_shared(t, k), math.floor(k * t)
 
     def run(batches):
         for (pivot, _, _), parts in _runs(batches):
             gid, n = np.array(_list(parts, "gid")), np.array(_list(parts, "n"))
-            shared = _overlaps([np.frombuffer(x, np.uint64) for x in _list(parts, "sketch")])
+            gid, first = np.unique(gid, return_index=True)  # the pivot may be a member of the block, too
+            n = n[first]
+            found = _list(parts, "sketch")
+            sketches = [np.frombuffer(found[i], np.uint64) for i in first]
+            shared = _overlaps(sketches)
             # A set whose partners' sketches are whole too shares at least t of itself.
             must = np.where(n <= whole, -(-n * percent // 100), low)
             fits = (shared >= np.maximum.outer(must, must)) & _near_size(n, percent)
             np.fill_diagonal(fits, False)
-            kept = gid[fits.any(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([pivot] * len(kept), pa.int64()), pa.array(kept, pa.int64())], ["pivot", "gid"])
+            keep = np.zeros(len(gid), bool)
+            for a in np.flatnonzero(fits.any(1)):
+                for b in np.flatnonzero(fits[a]) if not keep[a] else ():
+                    # Small unions are known whole; else the estimate is from k values.
+                    size = min(k, n[a] + n[b] - shared[a, b]) if max(n[a], n[b]) <= k else k
+                    enough = low if size == k else -(-size * percent // 100)
+                    if _union_shared(sketches[a], sketches[b], k) >= enough:
+                        keep[a] = keep[b] = True
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([pivot] * int(keep.sum()), pa.int64()), pa.array(gid[keep], pa.int64())], ["pivot", "gid"])
 
     return run
 
 
 def _linked(width: int, percent: int):
-    """A spanning forest of the exact links inside each group."""
+    """Components of the exact links inside each task's members, as stars: ``pivot, a, b``."""
 
     def run(batches):
         expand = zstandard.ZstdDecompressor().decompress
-        for _, parts in _runs(batches):
-            gid = _list(parts, "gid")
-            sets = [shingle_set(expand(x), width) for x in _list(parts, "packed")]
+        for (pivot, _, _), parts in _runs(batches):
+            packed = dict(zip(_list(parts, "gid"), _list(parts, "packed")))
+            gid = sorted(packed)
+            sets = [shingle_set(expand(packed[x]), width) for x in gid]
+            del packed
             n, shared = np.array([len(x) for x in sets]), _overlaps(sets)
             links = np.argwhere(np.triu(100 * shared >= percent * (np.add.outer(n, n) - shared), 1))
             parent = [*range(len(gid))]
@@ -191,23 +216,50 @@ def _linked(width: int, percent: int):
                     parent[x] = x = parent[parent[x]]
                 return x
 
-            forest = []
             for x, y in links.tolist():
-                a, b = root(x), root(y)
-                if a != b:
-                    parent[b] = a
-                    forest.append((gid[x], gid[y]))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in forest], pa.int64()), pa.array([b for _, b in forest], pa.int64())], ["a", "b"])
+                parent[root(x)] = root(y)
+            # A component becomes a star: around the pivot where it is a member, else around its smallest.
+            centre = {root(i): x for i, x in reversed([*enumerate(gid)])}
+            if pivot in gid:
+                centre[root(gid.index(pivot))] = pivot
+            star = [(centre[root(i)], x) for i, x in enumerate(gid) if centre[root(i)] != x]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([pivot] * len(star), pa.int64()), pa.array([a for a, _ in star], pa.int64()), pa.array([b for _, b in star], pa.int64())], ["pivot", "a", "b"]
+            )
 
     return run
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """``pivot, i, j, gid``: every member in each pair of blocks that holds its own block."""
-    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    own = F.pmod(F.xxhash64("gid"), F.col("blocks"))
-    dealt = members.join(sizes, "pivot").select("pivot", "gid", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    return dealt.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "gid")
+def _sized(members: DataFrame) -> DataFrame:
+    """Groups and their blocks, stored: the joins with it are plain ones, whose hot keys adaptive execution splits."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    return materialise(members.groupBy("pivot").agg(blocks.alias("blocks")), "near-sizes")
+
+
+def _own(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("gid"), F.col(blocks))
+
+
+def _within_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``pivot, i, j, gid, n``: every member in its own block, and the pivot in every block."""
+    dealt = members.join(sizes.hint("merge"), "pivot")
+    own = dealt.select("pivot", _own("blocks").alias("i"), _own("blocks").alias("j"), "gid", "n")
+    every = dealt.where((F.col("gid") == F.col("pivot")) & (F.col("blocks") > 1))
+    every = every.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("i"), F.col("i").alias("j"), "gid", "n")
+    return own.unionByName(every)
+
+
+def _across_blocks(members: DataFrame, sizes: DataFrame, linked: DataFrame) -> DataFrame:
+    """``pivot, i, j, gid, n``: members that are not linked with the pivot, in blocks i of
+    their own, with every block j of their group. A pair of linked members need not meet."""
+    large = members.join(sizes.where("blocks > 1").hint("merge"), "pivot")
+    apart = large.where("gid <> pivot").join(linked.hint("merge"), ["pivot", "gid"], "left_anti")
+    apart = materialise(apart, "near-apart")
+    few = materialise(apart.groupBy("pivot").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("rows")), "near-apart-sizes")
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    a = apart.join(few.hint("merge"), "pivot").select("pivot", _own("rows").alias("i"), F.explode(upto("blocks")).alias("j"), "gid", "n")
+    b = large.join(few.hint("merge"), "pivot").select("pivot", F.explode(upto("rows")).alias("i"), _own("blocks").alias("j"), "gid", "n")
+    return a.unionByName(b).distinct()
 
 
 def _together(dealt: DataFrame) -> DataFrame:
@@ -223,8 +275,8 @@ def _lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
     ranked = shared.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("by_df"))
     must = F.when(F.col("n") <= math.floor(k * t), F.ceil(F.col("n") * F.lit(percent) / 100)).otherwise(F.lit(least_shared(t, k)))
     sized = ranked.join(classes.select("gid", "n").hint("merge"), "gid").withColumn("prefix", (F.size("by_df") - must + 1).cast("int"))
-    rare = sized.where("prefix > 0").select("gid", F.explode(F.slice("by_df", F.lit(1), F.col("prefix"))).alias("x"))
-    return materialise(rare.select(F.col("x.value").alias("value"), "gid"), "near-lists")
+    rare = sized.where("prefix > 0").select("gid", "n", F.explode(F.slice("by_df", F.lit(1), F.col("prefix"))).alias("x"))
+    return materialise(rare.select(F.col("x.value").alias("value"), "gid", "n"), "near-lists")
 
 
 def _texts_of(base: DataFrame, classes: DataFrame, gids: DataFrame, width: int) -> DataFrame:
@@ -253,45 +305,75 @@ def _filter(wanted: DataFrame) -> bytes:
     return bytes(whole)
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row.
-
-    Rows are linked when 100 * intersection >= percent * union of their shingle
-    sets; ``component_id`` is the smallest id reachable, ``kept`` whether it is the
-    row's own. Texts without words link with nothing. Repeated rows are copies of
-    themselves; null ids are never smallest unless a component has no other.
-    A pair at the threshold is missed with a probability of about 1e-7 (the chance
-    that its sketches share too few values).
-    """
-    base = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = materialise(base.mapInArrow(_sketches(width, k), "doc_id bigint, n_shingles bigint, digest binary, sketch binary"), "near-rows")
+def _links(base: DataFrame, classes: DataFrame, dealt: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """``pivot, a, b``, stored: the components (stars, per task) of the exact links among members that meet in ``dealt``."""
+    dealt = materialise(dealt, "near-dealt")
+    sketches = _together(dealt.drop("n").join(classes.select("gid", "n", "sketch").hint("merge"), "gid"))
+    likely = materialise(sketches.mapInArrow(_likely(percent, k), "pivot bigint, gid bigint").distinct(), "near-likely")
+    texts = _texts_of(base, classes, likely.select("gid").distinct(), width)
+    chosen = dealt.select("pivot", "i", "j", "gid").join(likely.hint("merge"), ["pivot", "gid"])
+    whole = _together(chosen.join(texts.hint("merge"), "gid"))
+    found = materialise(whole.mapInArrow(_linked(width, percent), "pivot bigint, a bigint, b bigint").distinct(), "near-links")
+    discard(dealt, likely, texts)
+    return found
+
+
+def _components(base: DataFrame, width: int, percent: int, k: int) -> DataFrame:
+    """``key, doc_id, n_shingles, component_id, first_key`` from rows of ``key, doc_id, text``; the keys are stored ones."""
+    base = base.select("key", "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = materialise(base.mapInArrow(_sketches(width, k), "key bigint, doc_id bigint, n_shingles bigint, digest binary, sketch binary"), "near-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     classes = materialise(
         rows.where("n_shingles > 0").groupBy("digest")
-        .agg(F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"))
+        .agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"))
         .withColumn("gid", F.monotonically_increasing_id()),
         "near-classes",
     )
     lists = _lists(classes, percent, k)
     pivots = lists.groupBy("value").agg(F.min("gid").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").select("value", "pivot")
-    members = materialise(lists.join(pivots.hint("merge"), "value").select("pivot", "gid").distinct(), "near-members")
-    sketches = _together(_blocks(members).join(classes.select("gid", "n", "sketch").hint("merge"), "gid"))
-    likely = materialise(sketches.mapInArrow(_likely(percent, k), "pivot bigint, gid bigint").distinct(), "near-likely")
-    texts = _texts_of(base, classes, likely.select("gid").distinct(), width)
-    whole = _together(_blocks(likely).join(texts.hint("merge"), "gid"))
-    links = materialise(whole.mapInArrow(_linked(width, percent), "a bigint, b bigint").distinct(), "near-links")
-    roots = connected_components(links).select(F.col("node").alias("gid"), "root")
-    named = classes.select("gid", "digest", "min_id").join(roots.hint("merge"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
-    named = materialise(named, "near-named")
-    ids = named.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    by_digest = named.join(ids.hint("merge"), "root").select("digest", "component_id")
+    members = materialise(lists.join(pivots.hint("merge"), "value").select("pivot", "gid", "n").distinct(), "near-members")
+    sizes = _sized(members)
+    links = _links(base, classes, _within_blocks(members, sizes), width, percent, k)
+    if not sizes.where("blocks > 1").isEmpty():
+        linked = links.where(F.col("a") == F.col("pivot")).select("pivot", F.col("b").alias("gid"))
+        more = _links(base, classes, _across_blocks(members, sizes, linked), width, percent, k)
+        links = links.unionByName(more)
+    roots = connected_components(links.select("a", "b").distinct()).select(F.col("node").alias("gid"), "root")
+    found = classes.select("gid", "digest", "first").join(roots.hint("merge"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
+    found = materialise(found, "near-named")
+    firsts = found.groupBy("root").agg(F.min("first").alias("first"))
+    by_digest = found.select("root", "digest").join(firsts.hint("merge"), "root").select("digest", "first")
+    discard(lists, members)
+    blank = F.col("n_shingles") == 0
     return (
-        rows.select("doc_id", "n_shingles", "digest").join(by_digest.hint("merge"), "digest", "left")
-        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+        rows.select("key", "doc_id", "n_shingles", "digest").join(by_digest.hint("merge"), "digest", "left")
+        .select(
+            "key", "doc_id", "n_shingles", F.when(blank, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+            F.when(blank, F.col("key")).otherwise(F.col("first.key")).alias("first_key"),
+        )
     )
 
 
-def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` that stay (one document of each component), with their columns."""
-    kept = near_duplicates(df, doc_id, text, width, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return df.join(kept, df[doc_id].cast("bigint").eqNullSafe(kept["_kept_id"]), "left_semi")
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row.
+
+    Rows are linked when 100 * intersection >= percent * union of their shingle
+    sets; ``component_id`` is the smallest id reachable, ``kept`` whether it is the
+    row's own. Texts without words link with nothing. Repeated rows are copies of
+    themselves and, having one id, carry one verdict; null ids are never smallest
+    unless a component has no other. Other columns of ``df`` are not looked at.
+    A pair at the threshold is missed with a probability of about 1e-7 (the chance
+    that its sketches share too few values).
+    """
+    base = df.select(F.monotonically_increasing_id().alias("key"), named(doc_id).cast("bigint").alias("doc_id"), named(text).alias("text"))
+    found = _components(base, width, percent, k)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
+    """The rows of ``df`` that stay, with their columns: exactly one of each component
+    (the smallest id; of rows with one id any one), and every row without words."""
+    stored = keyed(df, "near-input", doc_id=named(doc_id).cast("bigint"), text=named(text))
+    found = _components(stored.select("key", "doc_id", "text"), width, percent, k)
+    dropped = materialise(found.where("key <> first_key").select("key"), "near-dropped")
+    return without(stored.select("key", "row"), dropped).select("row.*")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyloom.llm.common import SPACE_CLASS, materialise, words_of
+from rallyloom.llm.common import SPACE_CLASS, materialise, named, words_of
 
 
 @dataclass(frozen=True)
@@ -25,68 +25,60 @@ class QualityParams:
     #: Bounds of the prior's strength, in documents.
     min_strength: float = 2.0
     max_strength: float = 1000.0
+    #: Rejected hosts that may be broadcast (a few MB of names), and the salts of rows where there are more.
+    max_broadcast_hosts: int = 50_000
+    salts: int = 64
 
 
-def repeat_cover(words: str, n: str, df: DataFrame) -> DataFrame:
-    """Add ``n_repeat_words``: words inside 3-word windows that the text holds twice or more.
+def _with_cover(df: DataFrame) -> DataFrame:
+    """Add ``n_repeat_words`` to rows of ``words, n_words``: words inside 3-word windows that the text holds twice or more.
 
     Windows are strings (words hold no space, so joining by one is injective).
     Only texts with a repeated window sort theirs; neighbours in that order that
     are equal are the repeated ones, and gaps between their positions give the
     number of words covered.
     """
-    tri = F.when(
-        F.col(n) >= 3,
-        F.transform(
-            F.sequence(F.lit(0), F.col(n).cast("int") - 3),
-            lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    df = df.withColumn("_tri", tri)
-    df = df.withColumn(
-        "_sorted",
-        F.when(
-            F.size(F.array_distinct("_tri")) < F.size("_tri"),
-            F.sort_array(F.transform("_tri", lambda t, i: F.struct(t.alias("t"), i.alias("i")))),
-        ),
-    )
-    same = lambda j, k: F.coalesce(F.get("_sorted", j)["t"] == F.get("_sorted", k)["t"], F.lit(False))
-    df = df.withColumn(
-        "_at",
-        F.when(
-            F.col("_sorted").isNotNull(),
-            F.sort_array(
-                F.transform(
-                    F.filter(F.sequence(F.lit(0), F.size("_sorted") - 1), lambda j: same(j, j - 1) | same(j, j + 1)),
-                    lambda j: F.get("_sorted", j)["i"],
-                )
-            ),
-        ),
-    )
-    covered = F.aggregate(
-        F.sequence(F.lit(0), F.size("_at") - 1),
-        F.lit(0).cast("bigint"),
-        lambda acc, k: acc
-        + F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), F.get("_at", k) - F.get("_at", k - 1))).cast("bigint"),
-    )
-    df = df.withColumn("n_repeat_words", F.when(F.col("_at").isNotNull(), covered).otherwise(F.lit(0).cast("bigint")))
-    return df.drop("_tri", "_sorted", "_at")
+    at = lambda i: F.get("words", i)
+    starts = F.when(F.col("n_words") >= 3, F.sequence(F.lit(0), F.col("n_words").cast("int") - 3)).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("windows", F.transform(starts, lambda i: F.concat_ws(" ", at(i), at(i + 1), at(i + 2))))
+    twice = F.size(F.array_distinct("windows")) < F.size("windows")
+    df = df.withColumn("sorted", F.when(twice, F.sort_array(F.transform("windows", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))))
+    df = df.withColumn("repeated", _repeated("sorted", "t")).withColumn("n_repeat_words", _covered("repeated"))
+    return df.drop("windows", "sorted", "repeated")
+
+
+def _repeated(array: str, field: str) -> Column:
+    """Sorted positions ``i`` of the elements of a sorted array of structs that equal a neighbour in ``field``."""
+    same = lambda j, k: F.coalesce(F.get(array, j)[field] == F.get(array, k)[field], F.lit(False))
+    found = F.filter(F.sequence(F.lit(0), F.size(array) - 1), lambda j: same(j, j - 1) | same(j, j + 1))
+    return F.when(F.size(array) > 0, F.sort_array(F.transform(found, lambda j: F.get(array, j)["i"])))
+
+
+def _covered(at: str) -> Column:
+    """Words that 3-word windows at these positions cover."""
+    gap = lambda k: F.when(k == 0, F.lit(3)).otherwise(F.least(F.lit(3), F.get(at, k) - F.get(at, k - 1)))
+    count = F.aggregate(F.sequence(F.lit(0), F.size(at) - 1), F.lit(0).cast("bigint"), lambda acc, k: acc + gap(k).cast("bigint"))
+    return F.when(F.size(at) > 0, count).otherwise(F.lit(0).cast("bigint"))
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def rule_counts(df: DataFrame, text: str = "text", params: QualityParams = QualityParams()) -> DataFrame:
-    """``df`` plus ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+    """``df`` plus ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed``
+    (columns of ``df`` of these names are replaced, all others kept)."""
+    whole = F.coalesce(F.col("text"), F.lit(""))
     has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
-    df = df.withColumn("_words", words_of(F.col(text))).withColumn("n_words", F.size("_words").cast("bigint"))
-    df = df.withColumn("word_chars", F.length(F.regexp_replace(whole, SPACE_CLASS + "+", "")).cast("bigint"))
-    df = df.withColumn("n_symbols", F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("bigint"))
-    df = df.withColumn("_lines", F.filter(F.split(whole, "\n", -1), has_word))
-    df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"))
-    df = repeat_cover("_words", "n_words", df)
-    failed: Column = (F.col("n_words") < params.min_words) | (
-        100 * F.col("n_repeat_words") > params.max_repeat_percent * F.col("n_words")
-    )
-    return df.withColumn("base_failed", failed).drop("_words", "_lines")
+    others = [c for c in df.columns if c not in COUNTS]
+    inner = df.select(F.struct(F.lit(0).alias("_".join(others)), *[named(c) for c in others]).alias("row"), named(text).alias("text"))
+    inner = inner.withColumn("words", words_of(F.col("text"))).withColumn("n_words", F.size("words").cast("bigint"))
+    inner = inner.withColumn("word_chars", F.length(F.regexp_replace(whole, SPACE_CLASS + "+", "")).cast("bigint"))
+    inner = inner.withColumn("n_symbols", F.regexp_count(whole, F.lit(r"[#*$%&|<>]")).cast("bigint"))
+    inner = inner.withColumn("lines", F.filter(F.split(whole, "\n", -1), has_word))
+    inner = inner.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint"))
+    inner = _with_cover(inner)
+    failed: Column = (F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.max_repeat_percent * F.col("n_words"))
+    return inner.select(*[F.col("row").getField(c).alias(c) for c in others], *COUNTS[:-1], failed.alias("base_failed"))
 
 
 def beta_prior(docs: float, failed: float, squares: float, hosts: int, params: QualityParams) -> tuple[float, float]:
@@ -127,32 +119,36 @@ def judge_documents(df: DataFrame, text: str = "text", host: str = "source", par
 
     Null and blank texts have no words and fail; rows without a host get no host
     verdict; repeated rows are judged alike; columns of ``df`` that carry one of
-    the result names are replaced. The counts are stored once (without texts), so
-    texts are read once.
+    the result names are replaced, all others are kept. The counts are stored once
+    (without texts), so texts are read once.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    clash = {*names, "host", "host_docs", "host_failed", "host_rate", "host_ok", "kept"} - {text, host}
-    df = df.drop(*[c for c in df.columns if c in clash])
-    counted = materialise(rule_counts(df, text, params).drop(text), "quality")
-    return with_verdicts(counted, host, params)
-
-
-def with_verdicts(counted: DataFrame, host: str, params: QualityParams) -> DataFrame:
-    verdicts = host_verdicts(counted, host, params)
-    joined = counted.join(verdicts, counted[host] == verdicts["host"], "left")
-    ok = F.coalesce(F.col("host_ok"), F.lit(True))
-    return joined.withColumn("kept", ~F.col("base_failed") & ok).drop("host")
+    results = {*COUNTS, "host_docs", "host_failed", "host_rate", "host_ok", "kept"}
+    others = [c for c in df.columns if c != text and c not in results]
+    inner = df.select(F.struct(F.lit(0).alias("_".join(others)), *[named(c) for c in others]).alias("row"), named(host).alias("host_"), named(text).alias("text"))
+    counted = materialise(rule_counts(inner, "text", params).drop("text"), "quality")
+    verdicts = host_verdicts(counted, "host_", params)
+    joined = counted.join(verdicts, F.col("host_") == F.col("host"), "left")
+    kept = ~F.col("base_failed") & F.coalesce(F.col("host_ok"), F.lit(True))
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in others], *COUNTS, "host_docs", "host_failed", "host_rate", "host_ok", kept.alias("kept"))
 
 
 def keep_good(df: DataFrame, text: str = "text", host: str = "source", params: QualityParams = QualityParams()) -> DataFrame:
-    """The rows of ``df`` that pass, with their columns.
+    """The rows of ``df`` that pass, with their columns, whatever their names.
 
-    Counts stay beside the texts in one stored table; hosts are summed from its
-    narrow columns. Only rejected hosts are joined, so that join's build side has
-    at most one row per host.
+    Counts stay beside the rows in one stored table; hosts are summed from its narrow
+    columns. Rejected hosts are a stored table, too: up to ``max_broadcast_hosts`` of
+    them are broadcast, so no text moves; more are joined with their rows dealt over
+    salts, so that a host's rows never meet in one task.
     """
-    inner = df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_text"), F.col(host).alias("_host"))
-    stored = materialise(rule_counts(inner, "_text", params).select("_row", "_host", "base_failed"), "quality-rows")
-    bad = host_verdicts(stored, "_host", params).where(~F.col("host_ok")).select("host")
+    row = F.struct(*[named(c) for c in df.columns])
+    inner = df.select(row.alias("row"), named(text).alias("text"), named(host).alias("host_"))
+    counted = rule_counts(inner, "text", params).select("row", "host_", "base_failed", F.pmod(F.xxhash64("row"), F.lit(params.salts)).alias("salt"))
+    stored = materialise(counted, "quality-rows")
+    bad = materialise(host_verdicts(stored, "host_", params).where(~F.col("host_ok")).select("host"), "quality-bad-hosts")
     good = stored.where(~F.col("base_failed"))
-    return good.join(bad, good["_host"] == bad["host"], "left_anti").select("_row.*")
+    if bad.count() <= params.max_broadcast_hosts:
+        found = good.join(F.broadcast(bad), good["host_"] == bad["host"], "left_anti")
+    else:
+        salted = bad.select("host", F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1))).cast("bigint").alias("salt_"))
+        found = good.join(salted, (good["host_"] == salted["host"]) & (good["salt"] == salted["salt_"]), "left_anti")
+    return found.select("row.*")

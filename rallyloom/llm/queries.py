@@ -189,9 +189,17 @@ s3 AS (SELECT *, (sum(ss) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETW
               / (sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS share FROM s2),
 sh AS (SELECT min_by(share, k) FILTER (w * share <= cap) AS share FROM s3),
 t AS (SELECT source, ss, least(w * coalesce(share, 1e300), cap::DOUBLE) AS target FROM s2, sh),
-r AS (SELECT *, CASE WHEN ss > 0 THEN round(target / ss, 12) ELSE 0::DOUBLE END AS rate FROM t),
 z AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY 1, 2),
-q AS (SELECT z.source, size, n, rate * (n * size) AS want, 3 * n * size AS most FROM z JOIN r ON z.source IS NOT DISTINCT FROM r.source),
+zl AS (SELECT source, list(struct_pack(z := size::DOUBLE, w := (n * size)::DOUBLE)) AS cells, min(size)::DOUBLE AS least FROM z GROUP BY 1),
+y AS (SELECT t.source, ss, target, cells, 0 AS step, CASE WHEN target > 0 AND target < ss THEN ln(target / ss) / least ELSE 0::DOUBLE END AS lo,
+             CASE WHEN target > ss AND target < 3 * ss THEN ln(3::DOUBLE) / least ELSE 0::DOUBLE END AS hi FROM t LEFT JOIN zl ON t.source IS NOT DISTINCT FROM zl.source
+      UNION ALL
+      SELECT source, ss, target, cells, step + 1, CASE WHEN g < target THEN m ELSE lo END, CASE WHEN g < target THEN hi ELSE m END
+      FROM (SELECT *, (lo + hi) / 2 AS m, list_sum(list_transform(cells, lambda c: c.w * least(exp((lo + hi) / 2 * c.z), 3::DOUBLE))) AS g FROM y WHERE step < 120 AND lo < hi)),
+r AS (SELECT source, ss, target, arg_max((lo + hi) / 2, step) AS lam FROM y GROUP BY 1, 2, 3),
+q AS (SELECT source, size, n, rate * (n * size) AS want, 3 * n * size AS most
+      FROM (SELECT z.*, CASE WHEN target <= 0 THEN 0::DOUBLE WHEN target >= 3 * ss THEN 3::DOUBLE ELSE round(least(exp(lam * size), 3::DOUBLE), 12) END AS rate
+            FROM z JOIN r ON z.source IS NOT DISTINCT FROM r.source)),
 i AS (SELECT *, coalesce(sum(want) OVER w, 0) AS low, coalesce(sum(most) OVER w, 0) AS m, row_number() OVER (PARTITION BY source ORDER BY size DESC) AS rn FROM q
       WINDOW w AS (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT source, 0::BIGINT AS rn, 0::BIGINT AS size, 1::BIGINT AS n, 0::BIGINT AS total, 0::DOUBLE AS carry FROM (SELECT DISTINCT source FROM i)
