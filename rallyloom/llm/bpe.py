@@ -5,7 +5,9 @@ that follows a character which is no white space. Each distinct piece meets its
 copies in one bucket of the block exchange and is encoded there once; ids are
 joined back to the positions of the piece in every text. Decoding joins ids with
 the vocabulary's pieces (one row an id, so its size is the vocabulary's) and puts
-the bytes together in order.
+the bytes together in order: ``decode_ids`` as a Spark join of exploded ids, and
+inside a block, where a row an id would cost more than the corpus, as one look-up of
+all ids of a text in the table of pieces.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyloom.llm.blocks import BLOCK_BYTES, exchange
+from rallyloom.llm.blocks import BLOCK_BYTES, FANOUT, Dictionary, exchange
+from rallyloom.llm.common import keyed, named
 
 #: Characters that some library calls white space and that are no ASCII white space.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -76,69 +79,107 @@ def _unpacked(payload: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
-def encode_documents(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``) for every row.
+class _Pieces(Dictionary):
+    """Distinct pieces of a block; answers are their ids."""
 
-    ``tokenizer`` is the path of a byte-level BPE file for the tokenizers library.
-    Null counts as empty and has no tokens; ids may be null or repeat; strings of
-    special tokens inside a text are special tokens, as is the library's default.
-    """
+    def __init__(self, path: str, with_ids: bool):
+        self.path, self.with_ids = path, with_ids
 
-    def distinct(docs, buckets):
-        found: set[str] = set()
-        for _, t in docs:
-            found.update(split_pieces(t.decode()))
-        dealt: list[list[bytes]] = [[] for _ in range(buckets)]
-        for piece in map(str.encode, found):
-            dealt[xxhash.xxh3_64_intdigest(piece) % buckets].append(piece)
+    @staticmethod
+    def _cut(pieces: set[bytes], cells: range, of: int) -> list[list[bytes]]:
+        dealt: list[list[bytes]] = [[] for _ in cells]
+        for piece in pieces:
+            dealt[(xxhash.xxh3_64_intdigest(piece) * of >> 64) - cells.start].append(piece)
         return [sorted(x) for x in dealt]
 
-    def ask(docs, buckets):
-        return [_packed(x) for x in distinct(docs, buckets)]
+    def _distinct(self, texts: list[str], cells: range, of: int) -> list[list[bytes]]:
+        found: set[str] = set()
+        for t in texts:
+            found.update(split_pieces(t))
+        return self._cut(set(map(str.encode, found)), cells, of)
 
-    def answer(payloads):
+    def ask(self, docs, cells, of):
+        return [_packed(x) if x else b"" for x in self._distinct([t.decode() for _, t in docs], cells, of)]
+
+    def merge(self, payloads, cells, of):
+        return [_packed(x) if x else b"" for x in self._cut(set().union(*map(_unpacked, payloads)), cells, of)]
+
+    def answer(self, payloads):
         asked = [_unpacked(p) for p in payloads]
         pieces = list(set().union(*asked))
         known: dict[bytes, bytes] = {}
-        library = load_tokenizer(tokenizer)
+        library = load_tokenizer(self.path)
         for i in range(0, len(pieces), 20_000):
             some = pieces[i : i + 20_000]
             for piece, found in zip(some, library.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
                 known[piece] = np.array(found.ids, "<u4").tobytes()
         return [_packed([known[x] for x in one]) for one in asked]
 
-    def finish(docs, answers):
-        docs = list(docs)
-        ids_of = {}
-        for pieces, answered in zip(distinct(iter(docs), len(answers)), answers):
-            ids_of.update(zip((p.decode() for p in pieces), _unpacked(answered)))
-        vocabulary = vocabulary_pieces(tokenizer)
+    def relay(self, payloads, merged, answers):
+        known = {p: a for m, x in zip(merged, answers) if m for p, a in zip(_unpacked(m), _unpacked(x))}
+        return [_packed([known[x] for x in _unpacked(p)]) for p in payloads]
+
+    def finish(self, docs, cells, of, answers):
+        rows = [(d, t.decode()) for d, t in docs]
+        ids_of: dict[str, bytes] = {}
+        for cell, pieces in zip(cells, self._distinct([t for _, t in rows], cells, of)):
+            if pieces:
+                ids_of.update(zip((p.decode() for p in pieces), _unpacked(answers[cell])))
+        vocabulary = pa.array(vocabulary_pieces(self.path), pa.large_binary())
         columns: dict[str, list] = {"n": [], "ids": [], "text": [], "list": []}
-        for _, t in docs:
-            encoded = b"".join(map(ids_of.__getitem__, split_pieces(t.decode())))
+        for _, t in rows:
+            encoded = b"".join(map(ids_of.__getitem__, split_pieces(t)))
             ids = np.frombuffer(encoded, "<u4")
-            decoded = b"".join(map(vocabulary.__getitem__, ids.tolist())).decode("utf-8", "replace")
             columns["n"].append(len(ids))
             columns["ids"].append(hashlib.sha256(encoded).hexdigest())
-            columns["text"].append(hashlib.sha256(decoded.encode()).hexdigest())
-            if with_ids:
+            columns["text"].append(hashlib.sha256(_decoded(ids, vocabulary)).hexdigest())
+            if self.with_ids:
                 columns["list"].append(ids.astype(np.int32))
-        out = {"doc_id": pa.array([d for d, _ in docs], pa.int64()), "n_tokens": pa.array(columns["n"], pa.int64()), "ids_sha256": pa.array(columns["ids"], pa.string()), "decoded_sha256": pa.array(columns["text"], pa.string())}
-        if with_ids:
+        out = {"doc_id": pa.array([d for d, _ in rows], pa.int64()), "n_tokens": pa.array(columns["n"], pa.int64()), "ids_sha256": pa.array(columns["ids"], pa.string()), "decoded_sha256": pa.array(columns["text"], pa.string())}
+        if self.with_ids:
             out["ids"] = pa.array(columns["list"], pa.list_(pa.int32()))
         return pa.table(out)
 
+
+def _decoded(ids: np.ndarray, vocabulary: pa.Array) -> bytes:
+    """UTF-8 of the text of ids: their pieces, looked up all at once, lie one after the other in one buffer."""
+    if not len(ids):
+        return b""
+    pieces = vocabulary.take(pa.array(ids))
+    ends = np.frombuffer(pieces.buffers()[1], np.int64)
+    raw = pieces.buffers()[2].to_pybytes()[ends[pieces.offset] : ends[pieces.offset + len(pieces)]]
+    return raw.decode("utf-8", "replace").encode()
+
+
+def encode_documents(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, block_bytes: int = BLOCK_BYTES, fanout: int = FANOUT) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``) for every row.
+
+    ``tokenizer`` is the path of a byte-level BPE file for the tokenizers library.
+    Null counts as empty and has no tokens; ids may be null or repeat; other columns
+    are not looked at; strings of special tokens inside a text are special tokens,
+    as is the library's default.
+    """
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return exchange(df, ask, answer, finish, schema, doc_id, text, block_bytes)
+    return exchange(df, _Pieces(tokenizer, with_ids), schema, doc_id, text, block_bytes, fanout)
 
 
-def decode_ids(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """``doc_id, text`` from rows of ids: ids are looked up in the vocabulary's piece table."""
+def vocabulary_table(spark: SparkSession, path: str) -> DataFrame:
+    """``id, piece``: a row for every id of the vocabulary."""
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(vocabulary_pieces(path))), pa.int32()), "piece": pa.array(vocabulary_pieces(path), pa.binary())}))
+
 
-    def run(batches):
-        vocabulary = vocabulary_pieces(tokenizer)
-        for batch in batches:
-            texts = [b"".join(vocabulary[i] for i in row or ()).decode("utf-8", "replace") for row in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+def decode_ids(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """``doc_id, text`` from rows of ids, by a join of every id with its piece.
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id bigint, text string")
+    The vocabulary (its size is the tokenizer's, so it may be broadcast) meets the
+    ids where they are; a row's pieces are put in order by position. Null ids and
+    empty lists give an empty text; repeated rows stay apart.
+    """
+    stored = keyed(df, "decode", doc_id=named(doc_id).cast("bigint"), ids=named(ids)).select("key", "doc_id", "ids")
+    tokens = stored.select("key", F.posexplode("ids").alias("at", "id"))
+    pieces = tokens.join(F.broadcast(vocabulary_table(df.sparkSession, tokenizer)), "id")
+    whole = pieces.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", F.hex("piece").alias("piece")))).alias("pieces"))
+    raw = F.unhex(F.array_join(F.transform("pieces", lambda x: x["piece"]), ""))
+    # Bytes that are no UTF-8 become replacement characters, as the library decodes them.
+    texts = whole.select("key", F.make_valid_utf8(raw.cast("string")).alias("text"))
+    return stored.join(texts, "key", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -9,118 +9,90 @@ itself and n-grams of its own back off.
 
 from __future__ import annotations
 
-import struct
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from rallyloom.llm.blocks import BLOCK_BYTES, exchange
-from rallyloom.llm.windows import bucket_cuts, mixed, window_hashes, word_ids
+from rallyloom.llm.blocks import FANOUT, HashCounts, exchange
+from rallyloom.llm.common import named
+from rallyloom.llm.windows import BlockWords, counted
 
 #: Fixed value: what a score is multiplied by for each step down to a shorter n-gram.
 BACKOFF = 0.4
+#: UTF-8 bytes of text in a block: smaller than elsewhere, as a block holds a table for every order.
+BLOCK_BYTES = 4 << 20
 
 
-def _grams(ids: np.ndarray, order: int) -> np.ndarray:
-    return mixed(ids) if order == 1 else window_hashes(ids, order)
-
-
-def _counted(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not hashes:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.unique(np.concatenate(hashes), return_counts=True)
+class _Grams(HashCounts):
+    def __init__(self, order: int, backoff: float, total: int):
+        self.kinds, self.backoff, self.total = order, backoff, total
 
+    def tables(self, docs):
+        block = BlockWords(docs)
+        return [counted(block.windows(k)[1])[::2] for k in range(1, self.kinds + 1)]
 
-def _own(hashes: np.ndarray) -> np.ndarray:
-    """For each n-gram of a text, how often the text holds it."""
-    _, back, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    return counts[back]
-
+    def _elsewhere(self, block: BlockWords, k: int, sums: np.ndarray) -> np.ndarray:
+        """Of each word, how often other documents hold the k-gram that ends with it; 0 where none does."""
+        first, hashes = block.windows(k)
+        keys, back, _ = counted(hashes)
+        _, mine, own = counted(block.owner[first] * max(1, len(keys)) + back)
+        out = np.zeros(len(block.ids), np.int64)
+        out[first + k - 1] = sums[back] - own[mine]
+        return out
 
-def score_documents(df: DataFrame, order: int = 2, backoff: float = BACKOFF, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def finish(self, docs, cells, of, answers):
+        block = BlockWords(docs)
+        n = len(block.ids)
+        rest = np.repeat(self.total - block.lengths, block.lengths)
+        score, used = np.empty(0), np.ones(n, np.int64)
+        shorter = None
+        for k, sums in enumerate(self.totals(answers), 1):
+            found = self._elsewhere(block, k, sums)
+            if k == 1:
+                score = np.where(found > 0, found, 0.5) / (rest + 0.5)
+            else:
+                whole = block.place >= k - 1
+                # c(context): the shorter gram that ends one word earlier. A text's last
+                # word is no context, but it is taken off with the text's own counts.
+                context = np.roll(shorter, 1)
+                seen = whole & (found > 0)
+                score = np.where(seen, found / np.maximum(context, 1), np.where(whole, self.backoff * score, score))
+                used[seen] = k
+            shorter = found
+        backed = used < np.minimum(block.place + 1, self.kinds)
+        per_doc = lambda x: np.bincount(block.owner, x, len(block.docs)) if n else np.zeros(len(block.docs))
+        log_prob = per_doc(np.log(score))
+        mean = pa.array(log_prob / np.maximum(block.lengths, 1), pa.float64(), mask=block.lengths == 0)
+        return pa.table(
+            {
+                "doc_id": pa.array(block.docs, pa.int64()), "n_words": pa.array(block.lengths, pa.int64()),
+                "n_backoff": pa.array(np.rint(per_doc(backed)).astype(np.int64)), "log_prob": pa.array(log_prob, pa.float64()), "mean_log_prob": mean,
+            }
+        )
+
+
+def corpus_words(df: DataFrame, text: str = "text") -> int:
+    """Words of all texts."""
+
+    def run(batches):
+        for batch in batches:
+            n = sum(len(t.split()) for t in batch.column("text").cast(pa.binary()).to_pylist() if t)
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return int(df.select(named(text).alias("text")).mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+
+
+def score_documents(df: DataFrame, order: int = 3, backoff: float = BACKOFF, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, fanout: int = FANOUT) -> DataFrame:
     """``doc_id, n_words, n_backoff, log_prob, mean_log_prob`` for every row.
 
     S(w | context) is c(context w) / c(context) if that n-gram occurs in other
     rows, else ``backoff`` times the score with a context one word shorter; words
     that no other row holds get half a count. Contexts do not cross documents.
+    ``n_backoff`` counts words scored with a shorter n-gram than their place allows.
     Logarithms are natural. Null and blank texts have no words, log_prob 0 and a
-    null mean; repeated rows count as different documents; ids may be null.
+    null mean; repeated rows count as different documents; ids may be null; other
+    columns are not looked at.
     """
-
-    def ask(docs, buckets):
-        ids = [word_ids(t.split()) for _, t in docs]
-        parts: list[list[bytes]] = [[] for _ in range(buckets)]
-        for k in range(1, order + 1):
-            keys, counts = _counted([_grams(x, k) for x in ids])
-            cuts = bucket_cuts(keys, buckets)
-            for out, a, b in zip(parts, cuts[:-1], cuts[1:]):
-                out += [struct.pack("<I", b - a), keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()]
-        return [b"".join(p) for p in parts]
-
-    def read(payload):
-        at, out = 0, []
-        for _ in range(order):
-            (n,) = struct.unpack_from("<I", payload, at)
-            out.append((np.frombuffer(payload, np.uint64, n, at + 4), np.frombuffer(payload, np.uint32, n, at + 4 + 8 * n)))
-            at += 4 + 12 * n
-        return out
-
-    def answer(payloads):
-        asked = [read(p) for p in payloads]
-        replies: list[list[bytes]] = [[] for _ in asked]
-        words = 0
-        for k in range(order):
-            keys = np.concatenate([a[k][0] for a in asked])
-            counts = np.concatenate([a[k][1] for a in asked]).astype(np.int64)
-            every, back = np.unique(keys, return_inverse=True)
-            sums = np.zeros(len(every), np.int64)
-            np.add.at(sums, back, counts)
-            words = words or int(counts.sum())
-            at = 0
-            for a, reply in zip(asked, replies):
-                n = len(a[k][0])
-                reply.append(sums[back[at : at + n]].tobytes())
-                at += n
-        return [struct.pack("<q", words) + b"".join(r) for r in replies]
-
-    def finish(docs, answers):
-        docs = list(docs)
-        ids = [word_ids(t.split()) for _, t in docs]
-        tables, offsets, total = [], [8] * len(answers), sum(struct.unpack_from("<q", a)[0] for a in answers)
-        for k in range(1, order + 1):
-            keys, _ = _counted([_grams(x, k) for x in ids])
-            sums = []
-            for j, n in enumerate(np.diff(bucket_cuts(keys, len(answers))).tolist()):
-                sums.append(np.frombuffer(answers[j], np.int64, n, offsets[j]))
-                offsets[j] += 8 * n
-            tables.append((keys, np.concatenate(sums) if sums else np.empty(0, np.int64)))
-        columns: dict[str, list] = {"n_words": [], "n_backoff": [], "log_prob": [], "mean": []}
-        for x in ids:
-            others = []  # by order: counts in other rows of the n-gram that ends at each word
-            for k, (keys, sums) in enumerate(tables, 1):
-                h = _grams(x, k)
-                others.append(sums[np.searchsorted(keys, h)] - _own(h) if len(h) else np.empty(0, np.int64))
-            n = len(x)
-            rest = total - n
-            score = np.where(others[0] > 0, others[0], 0.5) / (rest + 0.5) if n else np.empty(0)
-            used = np.ones(n, np.int64)
-            for k in range(2, order + 1):
-                if n < k:
-                    break
-                seen = others[k - 1] > 0
-                # c(context): the (k-1)-gram that ends one word earlier. A text's last
-                # word is no context, but it is taken off with the text's own counts.
-                context = others[k - 2][: n - k + 1]
-                score[k - 1 :] = np.where(seen, others[k - 1] / np.maximum(context, 1), backoff * score[k - 1 :])
-                used[k - 1 :] = np.where(seen, k, used[k - 1 :])
-            most = np.minimum(np.arange(1, n + 1), order)
-            log_prob = float(np.log(score).sum()) if n else 0.0
-            columns["n_words"].append(n)
-            columns["n_backoff"].append(int((used < most).sum()))
-            columns["log_prob"].append(log_prob)
-            columns["mean"].append(log_prob / n if n else None)
-        return pa.table({"doc_id": pa.array([d for d, _ in docs], pa.int64()), "n_words": pa.array(columns["n_words"], pa.int64()), "n_backoff": pa.array(columns["n_backoff"], pa.int64()), "log_prob": pa.array(columns["log_prob"], pa.float64()), "mean_log_prob": pa.array(columns["mean"], pa.float64())})
-
     schema = "doc_id bigint, n_words bigint, n_backoff bigint, log_prob double, mean_log_prob double"
-    return exchange(df, ask, answer, finish, schema, doc_id, text, block_bytes)
+    return exchange(df, _Grams(order, backoff, corpus_words(df, text)), schema, doc_id, text, block_bytes, fanout)

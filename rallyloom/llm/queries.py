@@ -135,19 +135,20 @@ FROM a LEFT JOIN kept ON a.doc_id = kept.doc_id
 
 OP9_SQL = r"""
 WITH a AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM a),
-b AS (SELECT doc_id, x, i, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM u),
-c1 AS (SELECT x, count(*) AS n FROM u GROUP BY 1), d1 AS (SELECT doc_id, x, count(*) AS n FROM u GROUP BY 1, 2),
-c2 AS (SELECT v, x, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY 1, 2), d2 AS (SELECT doc_id, v, x, count(*) AS n FROM b WHERE v IS NOT NULL GROUP BY 1, 2, 3),
-total AS (SELECT count(*) AS n FROM u), own AS (SELECT doc_id, count(*) AS n FROM u GROUP BY 1),
-o AS (SELECT b.doc_id, b.i, c1.n - d1.n AS o1, cv.n - dv.n AS ov, c2.n - d2.n AS o2, total.n - own.n AS rest
-      FROM b JOIN c1 ON b.x = c1.x JOIN d1 ON b.doc_id = d1.doc_id AND b.x = d1.x
-      LEFT JOIN c1 cv ON b.v = cv.x LEFT JOIN d1 dv ON b.doc_id = dv.doc_id AND b.v = dv.x
-      LEFT JOIN c2 ON b.v = c2.v AND b.x = c2.x LEFT JOIN d2 ON b.doc_id = d2.doc_id AND b.v = d2.v AND b.x = d2.x
-      JOIN own ON b.doc_id = own.doc_id, total),
-s AS (SELECT doc_id, i, o2, CASE WHEN o1 > 0 THEN o1::DOUBLE ELSE 0.5::DOUBLE END / (rest + 0.5::DOUBLE) AS s1, ov FROM o),
-r AS (SELECT doc_id, count(*) AS n_words, sum(CASE WHEN i > 1 AND o2 <= 0 THEN 1 ELSE 0 END)::BIGINT AS n_backoff,
-             sum(ln(CASE WHEN i = 1 THEN s1 WHEN o2 > 0 THEN o2::DOUBLE / ov ELSE 0.4::DOUBLE * s1 END)) AS lp FROM s GROUP BY 1)
+x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM a),
+u AS (SELECT doc_id, i, x, lag(x) OVER p AS v, lag(x, 2) OVER p AS t FROM x WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+o AS (SELECT doc_id, i,
+             count(*) OVER (PARTITION BY x) - count(*) OVER (PARTITION BY doc_id, x) AS o1,
+             count(*) OVER (PARTITION BY v, x) - count(*) OVER (PARTITION BY doc_id, v, x) AS o2,
+             count(*) OVER (PARTITION BY t, v, x) - count(*) OVER (PARTITION BY doc_id, t, v, x) AS o3,
+             count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS rest, v IS NOT NULL AS has2, t IS NOT NULL AS has3 FROM u),
+-- grams that are cut off by a text's start count no more than 0; the others' partitions hold no such rows
+g AS (SELECT doc_id, i, o1, CASE WHEN has2 THEN o2 ELSE 0 END AS o2, CASE WHEN has3 THEN o3 ELSE 0 END AS o3, rest, has2, has3 FROM o),
+c AS (SELECT *, lag(o1) OVER p AS c2, lag(o2) OVER p AS c3 FROM g WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, i, has2, has3, o2, o3, CASE WHEN o1 > 0 THEN o1::DOUBLE ELSE 0.5::DOUBLE END / (rest + 0.5::DOUBLE) AS s1, c2, c3 FROM c),
+s2 AS (SELECT *, CASE WHEN NOT has2 THEN s1 WHEN o2 > 0 THEN o2::DOUBLE / c2 ELSE 0.4::DOUBLE * s1 END AS z2 FROM s),
+s3 AS (SELECT *, CASE WHEN NOT has3 THEN z2 WHEN o3 > 0 THEN o3::DOUBLE / c3 ELSE 0.4::DOUBLE * z2 END AS z3 FROM s2),
+r AS (SELECT doc_id, count(*) AS n_words, sum(CASE WHEN has3 THEN o3 <= 0 WHEN has2 THEN o2 <= 0 ELSE false END::INT)::BIGINT AS n_backoff, sum(ln(z3)) AS lp FROM s3 GROUP BY 1)
 SELECT a.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_backoff, 0)::BIGINT AS n_backoff,
        round_even(coalesce(lp, 0), 4) AS log_prob, round_even(lp / n_words, 6) AS mean_log_prob
 FROM a LEFT JOIN r ON a.doc_id = r.doc_id

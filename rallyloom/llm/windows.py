@@ -57,7 +57,32 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     return mixed(spans * inverse[: n - width + 1])
 
 
-def bucket_cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's part of the sorted hashes begins; buckets are equal ranges of hashes."""
-    edges = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(sorted_hashes, edges), len(sorted_hashes))
+def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, where each hash is among them, and how often each occurs."""
+    return np.unique(hashes, return_inverse=True, return_counts=True)
+
+
+class BlockWords:
+    """The words of a block's documents in one array: ``ids``, and ``starts`` of each document and of the end."""
+
+    def __init__(self, docs, keep: bool = False):
+        self.docs, self.words, parts, sizes = [], [], [], [0]
+        for doc, text in docs:
+            words = text.split()
+            self.docs.append(doc)
+            parts.append(word_ids(words))
+            sizes.append(len(words))
+            if keep:
+                self.words.append(words)
+        self.ids = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        self.starts = np.cumsum(sizes)
+        self.lengths = np.diff(self.starts)
+        #: Of each word, its document's place in the block and its own place in the document.
+        self.owner = np.repeat(np.arange(len(self.docs)), self.lengths)
+        self.place = np.arange(len(self.ids)) - np.repeat(self.starts[:-1], self.lengths)
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words and hashes of the windows of ``width`` words that lie in one document."""
+        left = np.repeat(self.starts[1:], self.lengths) - np.arange(len(self.ids))
+        first = np.flatnonzero(left >= width)
+        return first, window_hashes(self.ids, width)[first] if len(first) else np.empty(0, np.uint64)

@@ -120,8 +120,8 @@ def test_token_counts(docs, empty):
     assert all(n(text[:e]) == c for e, c in zip(stored[30].ends[::20], stored[30].counts[::20]))
 
 
-@pytest.mark.parametrize("width,block", [(35, 1 << 20), (35, 4000), (3, 2000)])
-def test_substring_dedup(docs, empty, width, block):
+@pytest.mark.parametrize("width,block,fanout", [(35, 1 << 20, 512), (35, 4000, 512), (3, 2000, 3)])
+def test_substring_dedup(docs, empty, width, block, fanout):
     seen = Counter()
     split = [(d, WORD.findall(t or "")) for d, t, *_ in corpus()]
     for _, w in split:
@@ -134,14 +134,14 @@ def test_substring_dedup(docs, empty, width, block):
                 cut.update(range(i, i + width))
         kept = " ".join(x for i, x in enumerate(w) if i not in cut)
         want.append((d, len(w), len(cut), hashlib.sha256(kept.encode()).hexdigest()))
-    got = substring_dedup.remove_repeats(docs, width, block_bytes=block, with_text=True)
+    got = substring_dedup.remove_repeats(docs, width, block_bytes=block, with_text=True, fanout=fanout)
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
     assert got.where("size(spans) > 0 and n_removed <> aggregate(spans, 0L, (a, s) -> a + s.end - s.start)").count() == 0
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-@pytest.mark.parametrize("block", [1 << 20, 3000])
-def test_bpe(docs, empty, block):
+@pytest.mark.parametrize("block,fanout", [(1 << 20, 512), (3000, 4)])
+def test_bpe(docs, empty, block, fanout):
     path = tokenizer_path("byte_bpe_50k.json")
     library = bpe.load_tokenizer(path)
     want = []
@@ -149,7 +149,7 @@ def test_bpe(docs, empty, block):
         ids = library.encode(t or "", add_special_tokens=False).ids
         decoded = library.decode(ids, skip_special_tokens=False)
         want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-    got = bpe.encode_documents(docs, path, with_ids=True, block_bytes=block)
+    got = bpe.encode_documents(docs, path, with_ids=True, block_bytes=block, fanout=fanout)
     assert rows_of(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
     texts = bpe.decode_ids(got, path)
     assert rows_of(texts, "doc_id", "text") == sorted(((d, t or "") for d, t, *_ in corpus()), key=repr)
@@ -241,8 +241,8 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(31)) and got[300] == 100 and {r for n, r in got.items() if n >= 1000} == {1000}
 
 
-@pytest.mark.parametrize("order,block", [(1, 1 << 20), (2, 3000), (3, 1 << 20)])
-def test_lm_scores(docs, empty, order, block):
+@pytest.mark.parametrize("order,block,fanout", [(1, 1 << 20, 512), (2, 3000, 512), (3, 1000, 6)])
+def test_lm_scores(docs, empty, order, block, fanout):
     split = [(d, WORD.findall(t or "")) for d, t, *_ in corpus()]
     grams = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
     every = [sum((grams(w, k) for _, w in split), Counter()) for k in range(1, order + 1)]
@@ -259,7 +259,7 @@ def test_lm_scores(docs, empty, order, block):
             g = tuple(w[i - k + 1 : i + 1])
             value += np.log(factor * (left(g) / left(g[:-1]) if k > 1 else (left(g) or 0.5) / (total - len(w) + 0.5)))
         want[d, len(w)] = value
-    got = lm_scores.score_documents(docs, order, block_bytes=block).collect()
+    got = lm_scores.score_documents(docs, order, block_bytes=block, fanout=fanout).collect()
     assert len(got) == len(split)
     for r in got:
         assert abs(r.log_prob - want[r.doc_id, r.n_words]) < 1e-6 * max(1, abs(r.log_prob))
