@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from rallyloom.llm.blocks import BLOCK_BYTES, FANOUT, Dictionary, exchange
 from rallyloom.llm.common import keyed, named
+from rallyloom.llm.prefix_bpe import byte_letters
 
 #: Characters that some library calls white space and that are no ASCII white space.
 _ODD = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
@@ -52,12 +53,9 @@ def load_tokenizer(path: str):
 
 @cache
 def vocabulary_pieces(path: str) -> list[bytes]:
-    """Bytes of every id. Byte-level vocabularies write a byte as a printable
-    character: printable Latin-1 stands for itself, the rest follow from 256 on."""
+    """Bytes of every id."""
     tokenizer = load_tokenizer(path)
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    byte_of = {letter: b for b, letter in byte_letters().items()}
     special = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
     vocab = tokenizer.get_vocab(with_added_tokens=True)
     pieces = [b""] * (max(vocab.values()) + 1)

@@ -113,11 +113,37 @@ def test_token_counts(docs, empty):
         assert r.fit_chars == len(t or "") if not r.over_limit else n(t[: r.fit_chars]) <= 100
     assert token_counts.count_tokens(empty, path).count() == 0
     table = token_counts.prefix_table(path)
-    for text in ["don't stop  <|endoftext|>!\n\n''re  x", "Ünï 日本 🙂 ét", ""]:
-        assert table.every_prefix(text.encode()) == [n(text[:k]) for k in range(len(text) + 1)]
-    stored = {r.doc_id: r for r in token_counts.prefix_counts(docs, path).collect()}
+    for text in ["don't stop  <|endoftext|>!\n\n''re  x", "Ünï 日本 🙂 ét", "", "it's 'r 're 'research they'll'd", "e\u0301a\u0308\u0323x 각a\u1161 İΣ", "a<|endoftext|>b<|endoftext", "x\u3000y\u00a0z\x1cw"]:
+        assert table.every_prefix(text.encode()).tolist() == [n(text[:k]) for k in range(len(text) + 1)], text
     text = dict((d, t) for d, t, *_ in corpus())[30]
-    assert all(n(text[:e]) == c for e, c in zip(stored[30].ends[::20], stored[30].counts[::20]))
+    stored = token_counts.prefix_counts(docs, path).where("doc_id = 30").select("counts", token_counts.tokens_at(F.col("counts"), 50).alias("a"), token_counts.longest_fit(F.col("counts"), 9).alias("f"))
+    row = stored.first()
+    assert row.counts[::40] == [n(text[:k]) for k in range(0, len(text) + 1, 40)] and row.a == n(text[:50])
+    assert row.f == max(k for k in range(60) if n(text[:k]) <= 9)
+    assert token_counts.prefix_counts(empty, path).count() == 0
+
+
+def test_prefixes_of_many_words():
+    """The dynamic programme against the library: every prefix of random strings."""
+    path, rng = tokenizer_path("word_bpe_49k.json"), random.Random(11)
+    library, table = token_counts.load_tokenizer(path), token_counts.PrefixTable(path)
+    table._by_library = None  # not called: the programme alone
+    signs = [*"aeinorstthl", "the", "ing", "tion", "'", "s", "re", "ve", "l", "!", "?!", "9", "é", "日", "本語", "🙂", "Ü", "ß", "я", "ш", "हि", "ก็", "_", "--", "aaaa", "..."]
+    words = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 14))) for _ in range(1500)] + ["a" * 60, "ab" * 40, "!" * 70, "haha" * 15]
+    for w in words:
+        assert table.inside(w.encode()).tolist() == [len(x.ids) for x in library.encode_batch([w[:k] for k in range(len(w) + 1)], add_special_tokens=False)], w
+
+
+def test_very_long_words(spark):
+    """100,000 code points without a space: bounded memory, exact cut."""
+    path, rng = tokenizer_path("word_bpe_49k.json"), random.Random(12)
+    letters = [chr(c) for c in range(0x4E00, 0x5200)]
+    texts = ["".join(rng.choice(letters) for _ in range(100_000)), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(100_000))]
+    library = token_counts.load_tokenizer(path)
+    n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    got = {r.doc_id: r for r in token_counts.count_tokens(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string"), path).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].n_tokens == n(t) and n(t[: got[i].fit_chars]) <= 2048 < n(t[: got[i].fit_chars + 1])
 
 
 @pytest.mark.parametrize("width,block,fanout", [(35, 1 << 20, 512), (35, 4000, 512), (3, 2000, 3)])
