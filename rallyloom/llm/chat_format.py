@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyloom.llm.common import materialise
+from rallyloom.llm.common import discard, materialise
 
 #: JSON types and the variant types that satisfy them (fixed values).
 TYPES = {
@@ -68,29 +68,77 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
+def _conversation() -> Column:
+    """What tells conversations apart; a null one is one of its own, whatever strings there are."""
+    return F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("null"))
+
+
+def _chains(edges: DataFrame) -> DataFrame:
+    """``conv, id, to, far``, stored: of each call that uses one other, the first call down
+    its chain that uses none or several, and the steps there; ``to`` is null on a circle.
+
+    Pointers double, so a chain of n calls takes log2(n) rounds.
+    """
+    single = edges.groupBy("conv", "id").agg(F.min("used").alias("to"), F.count(F.lit(1)).alias("uses")).where("uses = 1")
+    jumps = materialise(single.select("conv", "id", "to", F.lit(1).cast("bigint").alias("far")), "chat-jumps")
+    rounds = max(1, jumps.count()).bit_length() + 1
+    for _ in range(rounds):
+        on = jumps.select(F.col("conv").alias("c2"), F.col("id").alias("mid"), F.col("to").alias("beyond"), F.col("far").alias("more"))
+        joined = jumps.join(on, (F.col("conv") == F.col("c2")) & (F.col("to") == F.col("mid")), "left")
+        moved = F.col("mid").isNotNull()
+        last, jumps = jumps, materialise(
+            joined.select("conv", "id", F.when(moved, F.col("beyond")).otherwise(F.col("to")).alias("to"), (F.col("far") + F.when(moved, F.col("more")).otherwise(0)).alias("far"), moved.alias("moved")),
+            "chat-jumps",
+        )
+        discard(last)
+        if jumps.where("moved").isEmpty():
+            return jumps.drop("moved")
+    # Whoever still moves after doubling past every call is on a circle or leads to one.
+    return jumps.select("conv", "id", F.when(~F.col("moved"), F.col("to")).alias("to"), "far")
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
-    """``conv_id, call_id, level`` of calls that use results of other calls (``uses``).
+    """``conv, id, level`` of calls that use results of other calls, from rows of ``conv, id, uses``.
 
     A call's level is one more than the highest of the calls it uses; calls that
     use none, or only unknown ones, have level 0 and are not returned. Calls on a
-    cycle have level -1. Every round settles one level, so there are as many
-    rounds as the longest chain of uses; without uses there is none.
+    circle, or that use one, have level -1. Chains of calls that use one other are
+    contracted first; then a round settles one level of the calls that use several.
     """
-    edges = calls.where(F.size("uses") > 0).select("conv_id", "call_id", F.explode("uses").alias("used"))
-    known = calls.select("conv_id", F.col("call_id").alias("used")).distinct()
-    edges = materialise(edges.join(known, ["conv_id", "used"], "left_semi").distinct(), "chat-edges")
-    done, level = None, 0
-    while not edges.isEmpty():
-        level += 1
-        waiting = edges.select("conv_id", F.col("call_id").alias("used")).distinct()
-        blocked = edges.join(waiting, ["conv_id", "used"], "left_semi").select("conv_id", "call_id").distinct()
-        everyone = edges.select("conv_id", "call_id").distinct()
-        settled = materialise(everyone.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level).cast("bigint")), "chat-levels")
-        if settled.isEmpty():
-            settled, blocked = everyone.withColumn("level", F.lit(-1).cast("bigint")), everyone.limit(0)
-        done = settled if done is None else done.unionByName(settled)
-        edges = materialise(edges.join(blocked, ["conv_id", "call_id"], "left_semi"), "chat-edges")
-    return done if done is not None else calls.select("conv_id", "call_id", F.lit(0).cast("bigint").alias("level")).limit(0)
+    edges = calls.where(F.size("uses") > 0).select("conv", "id", F.explode("uses").alias("used"))
+    known = calls.select(F.col("conv").alias("c2"), F.col("id").alias("i2")).distinct()
+    edges = materialise(edges.join(known, (F.col("conv") == F.col("c2")) & (F.col("used") == F.col("i2")), "left_semi").distinct(), "chat-edges")
+    if edges.isEmpty():
+        return edges.select("conv", "id", F.lit(0).cast("bigint").alias("level"))
+    chains = _chains(edges)
+    # Calls that use several, with the ends of the chains below them.
+    several = edges.groupBy("conv", "id").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1").select("conv", "id")
+    below = chains.select(F.col("conv").alias("c2"), F.col("id").alias("i2"), "to", "far", F.col("to").isNull().alias("lost"))
+    ends = edges.join(several, ["conv", "id"]).join(below, (F.col("conv") == F.col("c2")) & (F.col("used") == F.col("i2")), "left")
+    ends = materialise(ends.select("conv", "id", F.when(F.col("i2").isNull(), F.col("used")).otherwise(F.col("to")).alias("to"), (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.coalesce("lost", F.lit(False)).alias("lost")), "chat-ends")
+    # Level by level: a call is settled when all ends below it are. An end that uses nothing is settled at 0.
+    settled = materialise(several.join(ends, ["conv", "id"]).select("conv", "id").limit(0).withColumn("level", F.lit(0).cast("bigint")), "chat-settled")
+    rest = ends
+    while not rest.isEmpty():
+        mine = rest.select(F.col("conv").alias("c2"), F.col("id").alias("i2")).distinct()
+        blocked = rest.join(mine, (F.col("conv") == F.col("c2")) & (F.col("to") == F.col("i2")), "left_semi").select("conv", "id").unionByName(rest.where("lost").select("conv", "id")).distinct()
+        ready = rest.join(blocked, ["conv", "id"], "left_anti")
+        done = settled.select(F.col("conv").alias("c2"), F.col("id").alias("i2"), F.col("level").alias("under"))
+        ready = ready.join(done, (F.col("conv") == F.col("c2")) & (F.col("to") == F.col("i2")), "left")
+        # A settled circle stays one for whoever uses it.
+        level = F.when(F.min("under") < 0, -1).otherwise(F.max(F.col("far") + F.coalesce("under", F.lit(0))))
+        fresh = materialise(ready.groupBy("conv", "id").agg(level.cast("bigint").alias("level")), "chat-fresh")
+        if fresh.isEmpty():
+            fresh = materialise(rest.select("conv", "id").distinct().withColumn("level", F.lit(-1).cast("bigint")), "chat-fresh")
+        settled = materialise(settled.unionByName(fresh), "chat-settled")
+        rest = materialise(rest.join(fresh.select("conv", "id"), ["conv", "id"], "left_anti"), "chat-rest")
+    done = settled.select(F.col("conv").alias("c2"), F.col("id").alias("i2"), F.col("level").alias("under"))
+    through = chains.join(done, (F.col("conv") == F.col("c2")) & (F.col("to") == F.col("i2")), "left")
+    level = F.when(F.col("to").isNull() | (F.col("under") < 0), -1).otherwise(F.col("far") + F.coalesce("under", F.lit(0)))
+    return settled.unionByName(through.select("conv", "id", level.cast("bigint").alias("level")))
+
+
+MESSAGE = ("conv_id", "turn", "role", "text", "call_id", "tool", "arguments", "result_of", "uses")
 
 
 def format_messages(messages: DataFrame, schemas: Schemas) -> DataFrame:
@@ -98,52 +146,45 @@ def format_messages(messages: DataFrame, schemas: Schemas) -> DataFrame:
 
     ``messages`` has ``conv_id, turn, role, text, call_id, tool, arguments,
     result_of, uses`` (``uses``: call identifiers whose results the call needs; it
-    may be null). ``status``: ``message``; for calls ``answered``, ``open``,
-    ``repeated`` (an earlier call has the identifier) or ``invalid`` (arguments
-    break the schema); for results ``linked``, ``orphan`` (no call) or ``repeated``
-    (an earlier result answers the call). Ties on turn go to the smaller text.
-    A result's ``at`` is its call's turn, so it sorts behind it even if the log has
-    it earlier. Null texts become empty strings; null conversations are one
-    conversation; a repeated row is a repeated call or result, or a message.
+    may be null); other columns are not looked at. ``status``: ``message``; for calls
+    ``answered``, ``open``, ``repeated`` (an earlier call has the identifier) or
+    ``invalid`` (arguments break the schema); for results ``linked``, ``orphan`` (no
+    call) or ``repeated`` (an earlier result answers the call). Ties on turn go to the
+    smaller text, then to any one row: of rows that repeat in every column, one is the
+    call or result and the others are ``repeated``. A result's ``at`` is its call's
+    turn, so it sorts behind it even if the log has it earlier. Null texts become empty
+    strings; rows without a conversation are one conversation, apart from all named ones.
     """
-    m = messages.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("uses", F.coalesce("uses", F.array().cast("array<string>")))
+    m = messages.select(*MESSAGE).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("uses", F.coalesce("uses", F.array().cast("array<string>")))
+    m = materialise(m.withColumn("conv", _conversation()).withColumn("key", F.monotonically_increasing_id()), "chat-messages")
     calls = m.where("call_id is not null")
     results = m.where("call_id is null and result_of is not null")
     plain = m.where("call_id is null and result_of is null")
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))
-
-    first_call = calls.groupBy(key.alias("_conv"), F.col("call_id").alias("_id")).agg(
-        F.min(F.struct("turn", "text")).alias("_first"), F.count(F.lit(1)).alias("_calls")
-    )
-    first_result = results.groupBy(key.alias("_rconv"), F.col("result_of").alias("_rid")).agg(F.min(F.struct("turn", "text")).alias("_answer"))
-    keyed = calls.withColumn("_k", key)
-    linked = keyed.join(first_call, (keyed["_k"] == F.col("_conv")) & (keyed["call_id"] == F.col("_id")))
-    linked = linked.join(first_result, (F.col("_k") == F.col("_rconv")) & (F.col("call_id") == F.col("_rid")), "left")
-    levels = call_levels(calls.withColumn("conv_id", key)).select(F.col("conv_id").alias("_lconv"), F.col("call_id").alias("_lid"), "level")
-    linked = linked.join(levels, (F.col("_k") == F.col("_lconv")) & (F.col("call_id") == F.col("_lid")), "left")
-    errors = argument_errors(F.col("tool"), F.col("arguments"), schemas)
-    linked = linked.withColumn("errors", errors)
+    first = F.min(F.struct("turn", "text", "key"))
+    first_call = calls.groupBy(F.col("conv").alias("c1"), F.col("call_id").alias("i1")).agg(first.alias("call"))
+    first_result = results.groupBy(F.col("conv").alias("c2"), F.col("result_of").alias("i2")).agg(first.alias("answer"))
+    levels = call_levels(calls.select("conv", F.col("call_id").alias("id"), "uses")).select(F.col("conv").alias("c3"), F.col("id").alias("i3"), "level")
+
+    def linked(rows: DataFrame, identifier: str, how: str, how_answer: str) -> DataFrame:
+        at = lambda c, i: (F.col("conv") == F.col(c)) & (F.col(identifier) == F.col(i))
+        return rows.join(first_call, at("c1", "i1"), how).join(first_result, at("c2", "i2"), how_answer).join(levels, at("c3", "i3"), "left")
+
+    zero, level = F.lit(0).cast("bigint"), F.coalesce("level", F.lit(0)).cast("bigint").alias("level")
+    no_errors, no_arguments = F.array().cast("array<string>"), F.lit(None).cast("string")
+    asked = linked(calls, "call_id", "inner", "left").withColumn("errors", argument_errors(F.col("tool"), F.col("arguments"), schemas))
     status = (
-        F.when(F.struct("turn", "text") != F.col("_first"), "repeated").when(F.size("errors") > 0, "invalid")
-        .when(F.col("_answer").isNotNull(), "answered").otherwise("open")
-    )
-    out_calls = linked.select(
-        "conv_id", "turn", "role", status.alias("status"), "errors", F.coalesce("level", F.lit(0)).cast("bigint").alias("level"),
-        F.col("turn").alias("at"), F.lit(0).cast("bigint").alias("step"),
-        _line(F.coalesce(canonical(F.col("arguments")), F.to_json(F.to_variant_object(F.struct(F.col("arguments").alias("invalid"))))), "text"),
+        F.when(F.col("key") != F.col("call.key"), "repeated").when(F.size("errors") > 0, "invalid")
+        .when(F.col("answer").isNotNull(), "answered").otherwise("open")
     )
-    keyed = results.withColumn("_k", key)
-    answered = keyed.join(first_call, (keyed["_k"] == F.col("_conv")) & (keyed["result_of"] == F.col("_id")), "left")
-    answered = answered.join(first_result, (F.col("_k") == F.col("_rconv")) & (F.col("result_of") == F.col("_rid")))
-    answered = answered.join(levels, (F.col("_k") == F.col("_lconv")) & (F.col("result_of") == F.col("_lid")), "left")
-    status = F.when(F.col("_first").isNull(), "orphan").when(F.struct("turn", "text") != F.col("_answer"), "repeated").otherwise("linked")
-    no_errors = F.array().cast("array<string>")
+    arguments = F.coalesce(canonical(F.col("arguments")), F.to_json(F.to_variant_object(F.struct(F.col("arguments").alias("invalid")))))
+    out_calls = asked.select("conv_id", "turn", "role", status.alias("status"), "errors", level, F.col("turn").alias("at"), zero.alias("step"), _line(arguments, "text"))
+    answered = linked(results, "result_of", "left", "inner")
+    status = F.when(F.col("call").isNull(), "orphan").when(F.col("key") != F.col("answer.key"), "repeated").otherwise("linked")
     out_results = answered.select(
-        "conv_id", "turn", "role", status.alias("status"), no_errors.alias("errors"), F.coalesce("level", F.lit(0)).cast("bigint").alias("level"),
-        F.coalesce(F.col("_first.turn"), F.col("turn")).alias("at"), F.lit(1).cast("bigint").alias("step"), _line(F.lit(None).cast("string"), "text"),
+        "conv_id", "turn", "role", status.alias("status"), no_errors.alias("errors"), level,
+        F.coalesce(F.col("call.turn"), F.col("turn")).alias("at"), F.lit(1).cast("bigint").alias("step"), _line(no_arguments, "text"),
     )
-    zero = F.lit(0).cast("bigint")
-    out_plain = plain.select("conv_id", "turn", "role", F.lit("message").alias("status"), no_errors.alias("errors"), zero.alias("level"), F.col("turn").alias("at"), zero.alias("step"), _line(F.lit(None).cast("string"), "text"))
+    out_plain = plain.select("conv_id", "turn", "role", F.lit("message").alias("status"), no_errors.alias("errors"), zero.alias("level"), F.col("turn").alias("at"), zero.alias("step"), _line(no_arguments, "text"))
     return reduce(DataFrame.unionByName, [out_calls, out_results, out_plain])
 
 
@@ -164,19 +205,35 @@ def _string(c: Column) -> Column:
 
 
 def conversation_messages(turns: DataFrame) -> DataFrame:
-    """Messages of a table ``conv_id, turn, role, text`` that holds no tool calls of its own.
+    """Messages with tool calls from a table ``conv_id, turn, role, text`` that holds none.
 
-    A user turn is a call of the tool ``reply`` with the identifier
-    ``conv_id:turn``, the assistant turn after it is that call's result.
+    A user turn is a call ``conv_id:turn`` of the tool ``reply``, the assistant turn
+    after it its result. What goes wrong in logs of calls follows from the number n of
+    code points of the user's text, so that it occurs everywhere in the table:
+
+    * uses: the call of the user turn before (not if 4 divides n), the one before
+      that too if 10 divides n, and the following one if 19 divides n (a circle, if that one uses this one);
+    * identifiers: if 17 divides n, the call repeats the one of turn 0;
+    * arguments: if 11 divides n, a list; else by n modulo 7: 0 no prompt, 1 a number as a string, 2 an unknown key;
+    * if 13 divides n, a tool that no schema knows.
     """
-    name = lambda turn: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), turn.cast("string"))
     text = F.coalesce(F.col("text"), F.lit(""))
+    n, turn = F.length(text), F.col("turn")
+    name = lambda t: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), t.cast("string"))
     user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    json = lambda *fields: F.to_json(F.struct(*[c.alias(k) for k, c in fields]))
+    prompt, chars = ("prompt", text), ("chars", n)
+    arguments = (
+        F.when(n % 11 == 0, F.to_json(F.array(text))).when(n % 7 == 0, json(chars)).when(n % 7 == 1, json(prompt, ("chars", n.cast("string"))))
+        .when(n % 7 == 2, json(prompt, chars, ("draft", F.lit(True)))).otherwise(json(prompt, chars))
+    )
+    uses = F.array(
+        F.when((n % 4 != 0) & (turn >= 2), name(turn - 2)), F.when((n % 10 == 0) & (turn >= 4), name(turn - 4)), F.when(n % 19 == 0, name(turn + 2))
+    )
+    call = F.when((n % 17 == 0) & (turn > 0), name(F.lit(0))).otherwise(name(turn))
     return turns.select(
-        "conv_id", "turn", "role", "text",
-        F.when(user, name(F.col("turn"))).alias("call_id"), F.when(user, F.lit("reply")).alias("tool"),
-        F.when(user, F.to_json(F.struct(text.alias("prompt"), F.length(text).alias("chars")))).alias("arguments"),
-        F.when(assistant, name(F.col("turn") - 1)).alias("result_of"), F.array().cast("array<string>").alias("uses"),
+        "conv_id", "turn", "role", "text", F.when(user, call).alias("call_id"), F.when(user, F.when(n % 13 == 0, "lookup").otherwise("reply")).alias("tool"),
+        F.when(user, arguments).alias("arguments"), F.when(assistant, name(turn - 1)).alias("result_of"), F.when(user, F.array_compact(uses)).alias("uses"),
     )
 
 

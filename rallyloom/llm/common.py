@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,9 +58,25 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._scratch_path = path  # for discard()
+    for made in _recorders:
+        made.append(stored)
     return stored
 
 
+_recorders: list[list[DataFrame]] = []
+
+
+@contextmanager
+def recording() -> Iterator[list[DataFrame]]:
+    """The tables that are stored meanwhile, so that whoever stores a result can remove them."""
+    made: list[DataFrame] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders[:] = [x for x in _recorders if x is not made]
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Remove tables of ``materialise`` that nothing reads any more (what was made of them is stored itself)."""
     for df in tables:

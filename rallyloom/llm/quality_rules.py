@@ -149,6 +149,6 @@ def keep_good(df: DataFrame, text: str = "text", host: str = "source", params: Q
     if bad.count() <= params.max_broadcast_hosts:
         found = good.join(F.broadcast(bad), good["host_"] == bad["host"], "left_anti")
     else:
-        salted = bad.select("host", F.explode(F.sequence(F.lit(0), F.lit(params.salts - 1))).cast("bigint").alias("salt_"))
+        salted = bad.select("host", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(params.salts - 1).cast("bigint"))).alias("salt_"))
         found = good.join(salted, (good["host_"] == salted["host"]) & (good["salt"] == salted["salt_"]), "left_anti")
     return found.select("row.*")

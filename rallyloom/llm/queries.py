@@ -17,10 +17,11 @@ from rallyloom.llm.quality_rules import judge_documents
 from rallyloom.llm.substring_dedup import remove_repeats
 from rallyloom.llm.token_counts import count_tokens
 
-from rallyloom.llm.url_filter import filter_pages, has_label
+from rallyloom.llm.url_filter import filter_pages
 
-#: Labels of the hosts on the production block list.
-BLOCKED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+#: The production block list: names in three domains.
+BLOCKED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+BLOCKED_UNDER = ("example.com", "example.net", "example.org")
 
 
 def tokenizer_path(name: str) -> str:
@@ -55,7 +56,8 @@ def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_pages(_table(spark, sf_dir, "pages"), has_label(BLOCKED_LABELS))
+    keys = F.array(*[F.lit(f"{name}.{under}") for name in BLOCKED_NAMES for under in BLOCKED_UNDER])
+    return filter_pages(_table(spark, sf_dir, "pages"), spark.range(1).select(F.explode(keys).alias("key")))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,22 +165,41 @@ fit AS (SELECT page_id, arg_max(h || pre, length(h || pre)) AS rule, arg_max(ver
         FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id)
 SELECT p.page_id, host, path, rule,
        coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
-FROM (SELECT *, list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS listed FROM p) p
+FROM (SELECT *, list_has_any(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')), blocked) AS listed
+      FROM p, (SELECT list(n || '.' || u) AS blocked FROM (SELECT unnest(['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS n),
+                                                          (SELECT unnest(['example.com', 'example.net', 'example.org']) AS u))) p
 LEFT JOIN fit ON p.page_id = fit.page_id
 """
 
 OP10_SQL = r"""
-WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations),
-m AS (SELECT *, CASE WHEN role = 'user' THEN conv_id || ':' || turn END AS call_id, CASE WHEN role = 'assistant' THEN conv_id || ':' || (turn - 1) END AS result_of FROM c),
-x AS (SELECT m.*, q.turn AS call_turn, exists(SELECT 1 FROM m a WHERE a.result_of = m.call_id) AS answered
-      FROM m LEFT JOIN (SELECT call_id, turn FROM m WHERE call_id IS NOT NULL) q ON m.result_of = q.call_id)
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM conversations),
+m AS (SELECT row_number() OVER () AS k, *, CASE WHEN role = 'user' THEN conv_id || ':' || CASE WHEN n % 17 = 0 AND turn > 0 THEN 0 ELSE turn END END AS call_id,
+             CASE WHEN role = 'user' THEN CASE WHEN n % 13 = 0 THEN 'lookup' ELSE 'reply' END END AS tool,
+             CASE WHEN role <> 'user' THEN NULL WHEN n % 11 = 0 THEN to_json([t])::VARCHAR ELSE '{"chars":' || CASE WHEN n % 7 = 1 THEN '"' || n || '"' ELSE n::VARCHAR END
+                  || CASE WHEN n % 7 = 2 THEN ',"draft":true' ELSE '' END || CASE WHEN n % 7 = 0 THEN '' ELSE ',"prompt":' || to_json(t)::VARCHAR END || '}' END AS arguments,
+             CASE WHEN role = 'assistant' THEN conv_id || ':' || (turn - 1) END AS result_of FROM c),
+calls AS (SELECT *, min_by(k, (turn, t, k)) OVER (PARTITION BY call_id) AS first_k FROM m WHERE call_id IS NOT NULL),
+fc AS (SELECT call_id AS id, turn AS call_turn FROM calls WHERE k = first_k),
+results AS (SELECT *, min_by(k, (turn, t, k)) OVER (PARTITION BY result_of) AS first_k FROM m WHERE call_id IS NULL AND result_of IS NOT NULL),
+e AS (SELECT DISTINCT conv_id, call_id AS id, conv_id || ':' || u AS used
+      FROM (SELECT conv_id, call_id, unnest([CASE WHEN n % 4 <> 0 AND turn >= 2 THEN turn - 2 END, CASE WHEN n % 10 = 0 AND turn >= 4 THEN turn - 4 END, CASE WHEN n % 19 = 0 THEN turn + 2 END]) AS u FROM calls)
+      WHERE u IS NOT NULL AND conv_id || ':' || u IN (SELECT id FROM fc)),
+size AS (SELECT conv_id, count(DISTINCT call_id) AS calls FROM calls GROUP BY 1),
+depth AS (SELECT conv_id, call_id AS id, 0 AS d FROM calls UNION SELECT e.conv_id, e.id, d + 1 FROM depth JOIN e ON e.used = depth.id JOIN size ON size.conv_id = e.conv_id WHERE d < size.calls),
+lev AS (SELECT id, CASE WHEN max(d) >= any_value(calls) THEN -1 ELSE max(d) END::BIGINT AS level FROM depth JOIN size USING (conv_id) GROUP BY 1),
+x AS (SELECT m.*, fc.call_turn, coalesce(lev.level, 0) AS level, cc.first_k AS call_k, rr.first_k AS result_k, m.call_id IN (SELECT result_of FROM results) AS answered,
+             array_to_string(CASE WHEN m.call_id IS NULL THEN [] WHEN json_type(arguments) <> 'OBJECT' THEN ['not an object'] WHEN tool <> 'reply' THEN ['unknown tool'] ELSE list_sort(list_concat(
+               CASE WHEN json_extract(arguments, '$.prompt') IS NULL THEN ['missing prompt'] WHEN json_type(arguments, '$.prompt') <> 'VARCHAR' THEN ['type of prompt'] ELSE [] END,
+               CASE WHEN json_extract(arguments, '$.chars') IS NULL THEN ['missing chars'] WHEN json_type(arguments, '$.chars') NOT IN ('UBIGINT', 'BIGINT') THEN ['type of chars'] ELSE [] END,
+               list_transform(list_filter(json_keys(arguments), lambda q: q NOT IN ('prompt', 'chars')), lambda q: 'unknown ' || q))) END, '; ') AS errors
+      FROM m LEFT JOIN fc ON coalesce(m.call_id, m.result_of) = fc.id LEFT JOIN lev ON coalesce(m.call_id, m.result_of) = lev.id LEFT JOIN (SELECT k, first_k FROM calls) cc ON m.k = cc.k LEFT JOIN (SELECT k, first_k FROM results) rr ON m.k = rr.k)
 SELECT conv_id, turn, role,
-       CASE WHEN call_id IS NOT NULL THEN CASE WHEN answered THEN 'answered' ELSE 'open' END
-            WHEN result_of IS NOT NULL THEN CASE WHEN call_turn IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'message' END AS status,
-       '' AS errors, 0::BIGINT AS level, coalesce(call_turn, turn) AS at, CASE WHEN result_of IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS step,
-       '{' || CASE WHEN call_id IS NOT NULL THEN '"arguments":{"chars":' || length(t) || ',"prompt":' || to_json(t)::VARCHAR || '},"call_id":' || to_json(call_id)::VARCHAR || ',' ELSE '' END
+       CASE WHEN call_id IS NOT NULL THEN CASE WHEN k <> call_k THEN 'repeated' WHEN errors <> '' THEN 'invalid' WHEN answered THEN 'answered' ELSE 'open' END
+            WHEN result_of IS NOT NULL THEN CASE WHEN call_turn IS NULL THEN 'orphan' WHEN k <> result_k THEN 'repeated' ELSE 'linked' END ELSE 'message' END AS status,
+       errors, level, CASE WHEN result_of IS NOT NULL THEN coalesce(call_turn, turn) ELSE turn END AS at, CASE WHEN result_of IS NOT NULL THEN 1 ELSE 0 END::BIGINT AS step,
+       '{' || CASE WHEN call_id IS NOT NULL THEN '"arguments":' || arguments || ',"call_id":' || to_json(call_id)::VARCHAR || ',' ELSE '' END
            || '"content":' || to_json(t)::VARCHAR || CASE WHEN result_of IS NOT NULL THEN ',"result_of":' || to_json(result_of)::VARCHAR ELSE '' END
-           || ',"role":' || to_json(role)::VARCHAR || CASE WHEN call_id IS NOT NULL THEN ',"tool":"reply"' ELSE '' END || '}' AS line
+           || ',"role":' || to_json(role)::VARCHAR || CASE WHEN call_id IS NOT NULL THEN ',"tool":"' || tool || '"' ELSE '' END || '}' AS line
 FROM x
 """
 

@@ -2,7 +2,6 @@
 
 import hashlib
 import json
-import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -196,16 +195,20 @@ def test_url_filters(spark):
     urls = ["http://a.example.org/es/x", "https://EXAMPLE.org/en/12?q", "http://x.com/fr/", "http://x.com/de/", "http://bad.net/p", "http://good.net", "http://sub.bad.net/?a/b", None, "no scheme", "http://x.org", "http://x.org/", "http://xorg/", "ftp://bad.net#f", "http://comx/fr/"]
     urls += [f"http://h{i}.net/" for i in range(400)]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(None, "http://bad.net/", "y")], "page_id bigint, url string, host string")
-    listed = (F.col("key") == "bad.net") | (F.col("key") == "") | F.col("key").rlike(r"^h\d*7\.net$")
-    for params in (url_filter.CascadeParams(bits_per_key=2, hashes=1), url_filter.CascadeParams(), url_filter.CascadeParams(max_filter_bytes=0)):
-        got = {r.page_id: r for r in url_filter.filter_pages(df, listed, params=params).collect()}
+    df = df.withColumns({"key": F.lit(1), "listed": F.lit("x"), "fit": F.lit(0), "_url": F.lit(0)})
+    blocked = ["bad.net", "", "bad.net", None, "elsewhere.org"] + [f"h{i}.net" for i in range(400) if i % 10 == 7]
+    keys = spark.createDataFrame([(k,) for k in blocked], "key string")
+    some = url_filter.CascadeParams
+    for params in (some(bits_per_key=2, hashes=1), some(), some(max_filter_bytes=10), some(max_filter_bytes=1, max_cascades=2)):
+        got = {r.page_id: r for r in url_filter.filter_pages(df, keys, params=params).collect()}
         assert len(got) == len(urls) + 1
         verdicts = [got[i].verdict for i in range(14)]
-        assert verdicts == ["block", "block", "allow", "block", "block", "allow", "allow", "block", "block", "allow", "allow", "allow", "block", "allow"]
+        assert verdicts == ["block", "block", "allow", "block", "block", "allow", "block", "block", "block", "allow", "allow", "allow", "block", "allow"]
         assert [got[i].rule for i in range(4)] == ["example.org/es/", "example.org/en/1", "com/fr/", "com/de/"] and got[9].rule is None and got[10].rule == "org/"
         assert (got[1].host, got[1].path, got[7].host, got[6].path) == ("example.org", "/en/12", "", "/")
         assert all(got[14 + i].listed == (i % 10 == 7) for i in range(400))
-    assert url_filter.filter_pages(df.limit(0), listed).count() == 0
+    assert url_filter.filter_pages(df.limit(0), keys).count() == 0
+    assert {r.verdict for r in url_filter.filter_pages(df.where("page_id = 4"), keys.limit(0)).collect()} == {"allow"}
 
 
 def test_quality_rules(docs, empty):
@@ -316,32 +319,116 @@ def test_chat_format(spark):
     assert at[1, 2].line.startswith('{"arguments":{"a":2,"b":1.5},"call_id":"c1","content":""') and line["tool"] == "add"
     assert json.loads(at[1, 0].line) == {"content": 'hi "you"\n', "role": "user"}
     assert chat_format.format_messages(spark.createDataFrame([], CALLS), TOOLS).count() == 0
-    turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, None, None), (1, 3, "assistant", "b")], "conv_id bigint, turn bigint, role string, text string")
+    turns = spark.createDataFrame([(1, 0, "user", "que"), (1, 1, "assistant", "a"), (1, 2, None, None), (1, 3, "assistant", "b")], "conv_id bigint, turn bigint, role string, text string")
     got = {r.turn: r.status for r in chat_format.format_messages(chat_format.conversation_messages(turns), chat_format.REPLY).collect()}
     assert got == {0: "answered", 1: "linked", 2: "message", 3: "orphan"}
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-def test_pipeline(spark):
-    import corpus_pipeline as p
-
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    assert [n for n, _ in p.STAGES] == ["quality rules", "exact dedup", "near dedup", "source mixing", "bpe encoding"]
-    rows = {r.doc_id: r for r in docs.collect()}
-    w = {i: WORD.findall(r.text or "") for i, r in rows.items()}
-    failed = set()
-    for i, x in w.items():
-        tri = Counter(zip(x, x[1:], x[2:]))
-        cover = {q for k, g in enumerate(zip(x, x[1:], x[2:])) if tri[g] > 1 for q in (k, k + 1, k + 2)}
-        if len(x) < 50 or 100 * len(cover) > 50 * len(x):
-            failed.add(i)
-    good = [i for i in rows if i not in failed]
-    groups = defaultdict(list)
-    for i in good:
-        groups["".join(w[i])].append((-len(rows[i].text), i))
-    exact = {min(g)[1] for g in groups.values()}
-    out = [r.doc_id for r in p.run(spark, d).select("doc_id").collect()]
-    assert out and set(out) <= exact and max(Counter(out).values()) <= 3
-    third = p.exact(spark, p.quality(spark, docs, d), d)
-    assert {r.doc_id for r in third.select("doc_id").collect()} == exact and third.columns == docs.columns
+def test_chat_levels(spark):
+    """Chains, branches and circles against a depth-first search; rows that repeat."""
+    rng = random.Random(9)
+    uses = {i: {i - 1} if i % 50 else set() for i in range(1, 300)}  # chains of 50
+    uses |= {i: {rng.randrange(1, i) for _ in range(rng.randrange(3))} for i in range(300, 360)}
+    uses |= {400: {401}, 401: {402}, 402: {400}, 403: {402}, 404: {403, 1}, 405: {405}, 406: {999, 49}}
+
+    def level(i, path=()):
+        if i in path:
+            return None
+        below = [level(j, (*path, i)) for j in uses[i] if j in uses]
+        return None if None in below else 1 + max(below, default=-1)
+
+    calls = spark.createDataFrame([("c1", str(i), [str(j) for j in js]) for i, js in uses.items()] + [("null", "1", ["2"]), ("null", "2", None)], "conv string, id string, uses array<string>")
+    got = {(r.conv, r.id): r.level for r in chat_format.call_levels(calls).collect()}
+    want = {("c1", str(i)): level(i) for i in uses}
+    assert {k: v for k, v in got.items() if k[0] == "c1"} == {k: -1 if v is None else v for k, v in want.items() if v != 0}
+    assert got["null", "1"] == 1 and ("null", "2") not in got
+
+
+def test_chat_repeats_nulls_and_clashes(spark):
+    row = (1, 0, "assistant", "x", "c1", "none", "{}", None, None)
+    answer = (1, 1, "tool", "y", None, None, None, "c1", None)
+    null = (None, 0, "assistant", "x", "c1", "none", "{}", None, None)
+    rows = spark.createDataFrame([row, row, answer, answer, answer, null], CALLS)
+    rows = rows.withColumns({c: F.lit(5) for c in ("_first", "call", "conv", "key", "level", "answer", "c1")})
+    got = Counter((r.conv_id, r.status) for r in chat_format.format_messages(rows, TOOLS).collect())
+    assert got == {(1, "answered"): 1, (1, "repeated"): 3, (1, "linked"): 1, (None, "open"): 1}
+    named = spark.createDataFrame([("null", 0, "a", "", "c1", "none", "{}", None, None), (None, 0, "a", "", "c1", "none", "{}", None, None)], CALLS.replace("conv_id bigint", "conv_id string"))
+    assert [r.status for r in chat_format.format_messages(named, TOOLS).collect()] == ["open", "open"]
+
+
+def test_rows_stay_and_not_ids(spark):
+    """Null and repeated ids, rows equal in every column: each group keeps exactly one row."""
+    long = " ".join(words(80, 1))
+    rows = [(2, long), (2, long + " "), (None, long), (None, "other " + " ".join(words(80, 2))), (2, "third " + " ".join(words(80, 3))), (7, "x y"), (7, "x y"), (None, None), (None, "")]
+    extra = {c: F.lit(c) for c in ("row", "key", "_kept_id", "_copies", "_copy", "doc", "none")}
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id bigint, text string, source string").withColumns(extra)
+    exact = exact_dedup.drop_duplicates(df)
+    assert exact.columns == df.columns
+    assert rows_of(exact, "doc_id", "text") == sorted([rows[1], *rows[3:6], max(rows[7:], key=lambda r: exact.where("text is null").count() == (r[1] is None))], key=repr)
+    near = near_dedup.drop_near_duplicates(df)
+    assert near.columns == df.columns and near.count() == 6 and near.where(F.col("text").startswith(long)).count() == 1
+    copies = [(1, "a b c")] * 50 + [(2, "d e f g")] * 50
+    twice = spark.createDataFrame([(i, t, f"s{i}") for i, t in copies], "doc_id bigint, text string, source string").withColumns(extra)
+    mixed = mixing.mix_documents(twice).collect()
+    taken = Counter()
+    for r in mixed:
+        taken[r.doc_id] += r.taken
+    given = Counter()
+    for r in mixing.take_mix(twice).collect():
+        given[r.doc_id] += len(r.text.split())
+    assert given == taken and abs(taken[1] - [r.target for r in mixed if r.doc_id == 1][0]) <= 3
+
+
+def test_rates_tilt_with_size(spark):
+    """Rates are exp(multiplier * size) up to the bound: short documents of a cut source stay, long ones go first."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 40)), f"s{i % 4}") for i in range(400)]
+    got = mixing.mix_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    for s in range(4):
+        mine = {r.size: r for r in got if r.doc_id % 4 == s}
+        open_ = [r for r in mine.values() if r.rate < 3]
+        slopes = [np.log(r.rate) / r.size for r in open_]
+        assert len(open_) < 10 or max(slopes) - min(slopes) < 1e-9
+        ratio = open_[0].target / open_[0].source_size
+        assert ratio == 1 or (slopes[0] > 0) == (ratio > 1)
+        assert len({round(r.rate, 6) for r in open_}) > 5 or abs(ratio - 1) < 1e-9
+        words_ = sum(r.rate * r.size for r in got if r.doc_id % 4 == s)
+        assert abs(words_ - open_[0].target) < 1e-6 * open_[0].target
+
+
+def test_large_groups_meet_their_pivot(spark, monkeypatch):
+    """Groups of many blocks, with members that only others than the pivot link."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    rng = random.Random(6)
+    rows = []
+    for g in range(3):
+        base = words(150, 70 + g, 4000)
+        for i in range(30):
+            w = base[:]
+            for j in range(rng.choice((1, 2, 6, 9))):
+                w[rng.randrange(150)] = f"x{g}.{i}.{j}"
+            rows.append((g * 100 + i, " ".join(w)))
+    sets = [(d, set(zip(t.split(), t.split()[1:]))) for d, t in rows]
+    label = {d: d for d, _ in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a, x in sets:
+            for b, y in sets:
+                if 100 * len(x & y) >= 80 * len(x | y) and label[b] < label[a]:
+                    label[a], changed = label[b], True
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=2).collect()}
+    assert got == label
+
+
+def test_rejected_hosts_join_by_salt(spark):
+    """More rejected hosts than may be broadcast: the same rows."""
+    good, bad = " ".join(words(80, 5)), "too short"
+    rows = [(i, good if i % 10 else bad, "good") for i in range(60)] + [(100 + i, bad if i % 10 else good, "bad") for i in range(60)] + [(300, good, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumns({c: F.lit(1) for c in ("row", "words", "_words", "host", "salt", "windows", "n_words")})
+    want = sorted((r[0],) for r in rows if r[1] == good and r[2] != "bad")
+    for params in (quality_rules.QualityParams(), quality_rules.QualityParams(max_broadcast_hosts=0)):
+        kept = quality_rules.keep_good(df, params=params)
+        assert kept.columns == df.columns and rows_of(kept, "doc_id") == sorted(want, key=repr)
+    judged = quality_rules.judge_documents(df)
+    assert rows_of(judged.where("kept"), "doc_id") == sorted(want, key=repr) and "_words" in judged.columns and judged.where("words <> 1").count() == 0
