@@ -7,10 +7,12 @@ columns of ``documents``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rallyloom.llm.bpe import encode_documents
-from rallyloom.llm.common import materialise
+from rallyloom.llm.common import discard, materialise, recording
 from rallyloom.llm.exact_dedup import drop_duplicates
 from rallyloom.llm.mixing import take_mix
 from rallyloom.llm.near_dedup import drop_near_duplicates
@@ -18,24 +20,38 @@ from rallyloom.llm.quality_rules import keep_good
 from rallyloom.llm.queries import tokenizer_path
 
 
+#: By input: stored tables of the stage before.
+_left: dict[str, list[DataFrame]] = {}
+
+
+def _stage(operator: Callable[[DataFrame], DataFrame], docs: DataFrame, sf_dir: str) -> DataFrame:
+    """An operator that stores its input first. So what the stage before has stored can go,
+    also if ``docs`` are that stage's rows themselves and not a table made of them."""
+    with recording() as made:
+        out = operator(docs)
+    discard(*_left.pop(sf_dir, ()))
+    _left[sf_dir] = made
+    return out
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules and whose host passes."""
-    return keep_good(docs)
+    return _stage(keep_good, docs, sf_dir)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return drop_duplicates(docs)
+    return _stage(drop_duplicates, docs, sf_dir)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five words, 0.8)."""
-    return drop_near_duplicates(docs)
+    return _stage(drop_near_duplicates, docs, sf_dir)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return take_mix(docs)
+    return _stage(take_mix, docs, sf_dir)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +74,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
+    discard(*_left.pop(sf_dir, ()))
     return STAGES[-1][1](spark, docs, sf_dir)
