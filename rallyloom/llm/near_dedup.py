@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyloom.llm.common import discard, keyed, materialise, named, without
+from rallyloom.llm.common import discard, filter_parts, keyed, materialise, named, possibly, without
 from rallyloom.llm.components import connected_components
 from rallyloom.llm.windows import window_hashes, word_ids
 
@@ -38,8 +38,7 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 MARGIN = 5.5
 #: Members and shingles of a block, about; a task compares two blocks at most.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
-#: Bits of the filter that spares texts a shuffle (2 MiB; two of 24-bit words).
-FILTER_BITS = 1 << 24
+
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -72,34 +71,26 @@ def _sketches(width: int, k: int):
                 if len(seen) < 1_000_000:
                     seen.add(digest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
-                ["key", "doc_id", "n_shingles", "digest", "sketch"],
+                [batch.column("key"), batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
+                ["key", "doc_id", "text_hash", "n_shingles", "digest", "sketch"],
             )
 
     return run
 
 
-def _packed_texts(width: int, bits):
+def _packed_texts(width: int):
+    """Texts whose shingles are those of their class, compressed."""
+
     def run(batches):
-        bitmap = bits.value
-        listed = lambda p: bitmap[p >> 3] >> (p & 7) & 1
-        seen: set[bytes] = set()
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            digests, texts = [], []
-            for text in batch.column("text").cast(pa.binary()):
-                value = text.as_py() or b""
-                values = shingle_set(value, width)
-                digest = hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
-                if digest is None or digest in seen:
-                    continue
-                if not (listed(int.from_bytes(digest[:3]) % FILTER_BITS) and listed(int.from_bytes(digest[4:7]) % FILTER_BITS)):
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(digest)
-                digests.append(digest)
-                texts.append(compress(value))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.binary())], ["digest", "packed"])
+            gids, texts = [], []
+            for gid, digest, text in zip(batch.column("gid").to_pylist(), batch.column("digest").to_pylist(), batch.column("text").cast(pa.binary())):
+                value = text.as_py()
+                if hashlib.blake2b(shingle_set(value, width).tobytes(), digest_size=16).digest() == digest:
+                    gids.append(gid)
+                    texts.append(compress(value))
+            yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(texts, pa.binary())], ["gid", "packed"])
 
     return run
 
@@ -252,7 +243,8 @@ def _within_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
 def _across_blocks(members: DataFrame, sizes: DataFrame, linked: DataFrame) -> DataFrame:
     """``pivot, i, j, gid, n``: members that are not linked with the pivot, in blocks i of
     their own, with every block j of their group. A pair of linked members need not meet."""
-    large = members.join(sizes.where("blocks > 1").hint("merge"), "pivot")
+    # Stored between joins on the pivot: each then deals its rows anew, and adaptive execution can split a hot pivot.
+    large = materialise(members.join(sizes.where("blocks > 1").hint("merge"), "pivot"), "near-large")
     apart = large.where("gid <> pivot").join(linked.hint("merge"), ["pivot", "gid"], "left_anti")
     apart = materialise(apart, "near-apart")
     few = materialise(apart.groupBy("pivot").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("rows")), "near-apart-sizes")
@@ -280,29 +272,18 @@ def _lists(classes: DataFrame, percent: int, k: int) -> DataFrame:
 
 
 def _texts_of(base: DataFrame, classes: DataFrame, gids: DataFrame, width: int) -> DataFrame:
-    """``gid, packed``: a compressed text of each class.
+    """``gid, packed``, stored: a compressed text of each class.
 
-    Texts that surely are not wanted stay where they are: a Bloom filter of fixed
-    size over the wanted digests goes to all tasks. Where it is full it passes
-    everything, and the join alone decides, as it does in any case.
+    Texts are found by a hash of the text, and those that surely are not wanted stay
+    where they are (a filter of fixed size). Of copies one goes on; its shingles are
+    compared with the class, so that a hash that two texts share does no harm.
     """
-    wanted = materialise(classes.select("gid", "digest").join(gids.hint("merge"), "gid", "left_semi"), "near-wanted")
-    bits = base.sparkSession.sparkContext.broadcast(_filter(wanted))
-    texts = base.select("text").mapInArrow(_packed_texts(width, bits), "digest binary, packed binary")
-    found = texts.join(wanted.hint("merge"), "digest").groupBy("gid").agg(F.first("packed").alias("packed"))
-    return materialise(found, "near-texts")
-
-
-def _filter(wanted: DataFrame) -> bytes:
-    """Bitmap of FILTER_BITS bits: a bit for each of two words of a digest. Parts of 4 KiB reach the driver, never the digests."""
-    word = lambda i: F.conv(F.hex(F.substring("digest", F.lit(4 * i + 1), F.lit(3))), 16, 10).cast("bigint") % FILTER_BITS + 1
-    spots = wanted.select(F.explode(F.array(word(0), word(1))).alias("p"))
-    part, bit = F.call_function("bitmap_bucket_number", F.col("p")), F.call_function("bitmap_bit_position", F.col("p"))
-    whole = bytearray(FILTER_BITS // 8)
-    for row in spots.groupBy(part.alias("part")).agg(F.call_function("bitmap_construct_agg", bit).alias("bitmap")).toLocalIterator():
-        start = (row["part"] - 1) * 4096
-        whole[start : start + 4096] = row["bitmap"]
-    return bytes(whole)
+    wanted = materialise(classes.select("gid", "digest", "text_hash").join(gids.hint("merge"), "gid", "left_semi"), "near-wanted")
+    parts = materialise(filter_parts(wanted, F.col("text_hash")), "near-filter")
+    possible = possibly(base.select("text_hash", "text"), F.col("text_hash"), parts)
+    found = possible.join(wanted.hint("merge"), "text_hash").dropDuplicates(["gid", "text"])
+    texts = found.select("gid", "digest", "text").mapInArrow(_packed_texts(width), "gid bigint, packed binary")
+    return materialise(texts.dropDuplicates(["gid"]), "near-texts")
 
 
 def _links(base: DataFrame, classes: DataFrame, dealt: DataFrame, width: int, percent: int, k: int) -> DataFrame:
@@ -320,12 +301,12 @@ def _links(base: DataFrame, classes: DataFrame, dealt: DataFrame, width: int, pe
 
 def _components(base: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     """``key, doc_id, n_shingles, component_id, first_key`` from rows of ``key, doc_id, text``; the keys are stored ones."""
-    base = base.select("key", "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = materialise(base.mapInArrow(_sketches(width, k), "key bigint, doc_id bigint, n_shingles bigint, digest binary, sketch binary"), "near-rows")
+    base = base.select("key", "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = materialise(base.mapInArrow(_sketches(width, k), "key bigint, doc_id bigint, text_hash bigint, n_shingles bigint, digest binary, sketch binary"), "near-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     classes = materialise(
         rows.where("n_shingles > 0").groupBy("digest")
-        .agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"))
+        .agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("text_hash").alias("text_hash"), F.first("sketch", ignorenulls=True).alias("sketch"))
         .withColumn("gid", F.monotonically_increasing_id()),
         "near-classes",
     )
