@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyloom.functions.geometry import adjugate, project
@@ -17,6 +17,12 @@ def reference_points(spark: SparkSession, layout: str = "reference") -> DataFram
     return spark.createDataFrame(rows, "point_no int, label string, court_x double, court_y double")
 
 
+def reference_array(layout: str = "reference") -> Column:
+    """The reference points as a constant: ten rows."""
+    names = ("point_no", "label", "court_x", "court_y")
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (i, *r))]) for i, r in enumerate(REFERENCE_POINTS[layout])])
+
+
 def _normaliser(points: np.ndarray) -> np.ndarray:
     """Moves points to mean 0 and mean distance sqrt(2)."""
     mean = points.mean(0)
@@ -47,7 +53,7 @@ def fit_homographies(points: DataFrame, reference: DataFrame) -> DataFrame:
     Fewer than four known points, or points that fix no homography, fail the job.
     A clip has at most ten points, so a group is tiny.
     """
-    known = points.join(F.broadcast(reference), "label")  # ten rows
+    known = points.join(reference, "label")
     schema = ", ".join(["clip bigint", *[f"{h} double" for h in H_COLUMNS]])
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -25,9 +25,13 @@ def motion_scores(signatures: DataFrame) -> DataFrame:
 def spaced_top_k(scores: DataFrame, quota: int, spacing: int, score: str = "score") -> DataFrame:
     """``clip, frame_idx, rank``: greedily the best frames that keep their distance.
 
-    Equal scores go to the earlier frame; at least one frame is taken. The fold
-    appends only accepted frames, so its state is at most ``quota`` numbers.
+    Equal scores go to the earlier frame; at least one frame is taken. An accepted
+    frame rules out at most ``2 * spacing - 1`` frames, itself included, so the fold
+    ends within the best ``quota`` times as many; only these leave their tasks, and
+    its state is at most ``quota`` numbers.
     """
+    place = F.row_number().over(Window.partitionBy("clip").orderBy(F.desc(score), "frame_idx"))
+    scores = scores.withColumn("_place", place).where(F.col("_place") <= max(quota, 1) * max(1, 2 * spacing - 1))
     fits = lambda acc, x: (F.size(acc) < max(quota, 1)) & F.forall(acc, lambda a: F.abs(a - x["frame_idx"]) >= spacing)
     ordered = F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col("frame_idx"))))
     picked = F.aggregate("o", F.array().cast("array<bigint>"), lambda acc, x: F.when(fits(acc, x), F.concat(acc, F.array(x["frame_idx"]))).otherwise(acc))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyloom.functions.geometry import project, within_court
@@ -64,12 +64,22 @@ def _segments(court: DataFrame, params: EventParams) -> DataFrame:
     return numbered.groupBy("clip", "segment").agg(F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"))
 
 
+#: Frames of a block of the range join, about as many as a rally has.
+BLOCK_FRAMES = 512
+
+
 def within(points: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """Range join of frames with spans of the same clip: a hash join on the clip and a residual."""
-    s = spans.withColumnRenamed("clip", "_clip")
-    on = (points["clip"] == s["_clip"]) & points["frame_idx"].between(s["start_frame"], s["end_frame"])
+    """Range join of frames with spans of the same clip, by blocks of frames.
+
+    A span is listed under each block it touches, a frame meets the spans of its own
+    block only. So the work follows frames and spans, not their product, and a long
+    clip spreads over tasks.
+    """
+    block = lambda c: F.floor(c / BLOCK_FRAMES).cast("bigint")
+    s = spans.withColumnRenamed("clip", "_clip").withColumn("_block", F.explode(F.sequence(block(F.col("start_frame")), block(F.col("end_frame")))))
+    on = (points["clip"] == s["_clip"]) & (block(points["frame_idx"]) == s["_block"]) & points["frame_idx"].between(s["start_frame"], s["end_frame"])
     joined = points.join(s, on, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop("_clip")
+    return joined if how in ("left_semi", "left_anti") else joined.drop("_clip", "_block")
 
 
 def rallies(court: DataFrame, crossings: DataFrame, params: EventParams = EventParams()) -> DataFrame:
@@ -88,7 +98,3 @@ def in_play(points: DataFrame, rally: DataFrame) -> DataFrame:
 def rally_frames(rally: DataFrame) -> DataFrame:
     """Distinct ``clip, frame_idx`` of all rallies."""
     return rally.select("clip", F.explode(F.sequence("start_frame", "end_frame")).alias("frame_idx")).distinct()
-
-
-def flag(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False))

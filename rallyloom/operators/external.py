@@ -17,8 +17,9 @@ Detector = Callable[[dict], list[tuple]]
 _models: dict[str, Detector] = {}
 
 
-def detect(frames: DataFrame, key: str, load: Callable[[], Detector], name: str, min_conf: float) -> DataFrame:
-    """``key, class, x1, y1, x2, y2, confidence, ord``: boxes of each frame at or above the floor.
+def detect(frames: DataFrame, key: str, load: Callable[[], Detector], name: str, min_conf: float, classes: tuple[str, ...] | None = None) -> DataFrame:
+    """``key, class, x1, y1, x2, y2, confidence, ord``: boxes of each frame at or above the floor,
+    of ``classes`` only if given (a general model finds more than players).
 
     ``load`` makes the detector once per worker. Floors apply before rounding (boxes
     to one digit, confidence to three, halves to even).
@@ -31,7 +32,7 @@ def detect(frames: DataFrame, key: str, load: Callable[[], Detector], name: str,
         for batch in batches:
             rows = []
             for row in batch.to_dict("records"):
-                found = [b for b in model(row) if b[5] >= min_conf]
+                found = [b for b in model(row) if b[5] >= min_conf and (classes is None or b[0] in classes)]
                 rows += [(row[key], b[0], *[round(v, 1) for v in b[1:5]], round(b[5], 3), i) for i, b in enumerate(found)]
             yield pd.DataFrame(rows, columns=[key, "class", "x1", "y1", "x2", "y2", "confidence", "ord"])
 
@@ -39,22 +40,36 @@ def detect(frames: DataFrame, key: str, load: Callable[[], Detector], name: str,
     return frames.mapInPandas(run, f"{key} {kind}, class string, x1 double, y1 double, x2 double, y2 double, confidence double, ord int")
 
 
+def players_and_ball(players: DataFrame, ball: DataFrame, key: str) -> DataFrame:
+    """Boxes of two models in one table, the players' first; ``ord`` counts on."""
+    ahead = players.groupBy(F.col(key).alias("_key")).agg((F.max("ord") + 1).alias("_ahead"))
+    after = ball.join(ahead, F.col(key) == F.col("_key"), "left").withColumn("ord", (F.col("ord") + F.coalesce("_ahead", F.lit(0))).cast("int"))
+    return players.unionByName(after.drop("_key", "_ahead"))
+
+
 class RateLimited(Exception):
     def __init__(self, retry_after: float | None = None):
         super().__init__("rate limited")
         self.retry_after = retry_after
 
 
+def delays(tries: int, base: float, jitter: Callable[[], float] = random.random) -> Iterator[float]:
+    """The waits between tries, each about twice the one before."""
+    return (base * (1 << n) + jitter() for n in range(tries - 1))
+
+
 def with_backoff(call: Callable[[], dict], tries: int = 6, base: float = 2.0, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random) -> dict:
-    """Retries only where the service limits the rate; waits as told, or longer each time."""
-    for attempt in range(tries):
+    """Retries only where the service limits the rate; what the service asks for goes before the own delay."""
+    waits = delays(tries, base, jitter)
+    limit = None
+    while limit is None or (wait := next(waits, None)) is not None:
+        if limit is not None:
+            sleep(wait if limit.retry_after is None else limit.retry_after)
         try:
             return call()
-        except RateLimited as limit:
-            if attempt == tries - 1:
-                raise
-            sleep(base * 2**attempt + jitter() if limit.retry_after is None else limit.retry_after)
-    raise AssertionError("unreachable")
+        except RateLimited as told:
+            limit = told
+    raise limit
 
 
 def verify(frames: DataFrame, key: str, connect: Callable[[], Callable[[dict], dict]], concurrency: int = 8) -> DataFrame:

@@ -77,10 +77,11 @@ def signatures(images: DataFrame, crop: tuple[int, int, int, int] | None = None,
     return flat.mapInArrow(run, f"clip {kind}, frame_idx bigint, signature array<double>")
 
 
-def court_lines(spark: SparkSession, homographies: DataFrame) -> DataFrame:
+def court_lines(homographies: DataFrame) -> DataFrame:
     """``clip, line, px1, py1, px2, py2``: the court's lines on the screen."""
-    lines = spark.createDataFrame(COURT_LINES, "line string, x double, y double, x2 double, y2 double")
-    every = homographies.select("clip").withColumn("all", F.lit(1)).join(lines.withColumn("all", F.lit(1)), "all").drop("all")
+    names = ("line", "x", "y", "x2", "y2")
+    lines = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, line)]) for line in COURT_LINES])  # a few constants a clip
+    every = homographies.select("clip", F.inline(lines))
     start = to_pixels(every, homographies).withColumnsRenamed({"px": "px1", "py": "py1"})
     end = to_pixels(start.select("clip", "line", "px1", "py1", F.col("x2").alias("x"), F.col("y2").alias("y")), homographies)
     return end.select("clip", "line", "px1", "py1", F.col("px").alias("px2"), F.col("py").alias("py2"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,14 @@ def segmentation_set(labels: DataFrame, images: DataFrame) -> DataFrame:
     return to_polygons(named(labels).join(named(images).select("split", "stem"), ["split", "stem"], "left_semi"))
 
 
+def segmentation_counts(labels: DataFrame, images: DataFrame) -> DataFrame:
+    """``split, images, polygons`` of the set that ``segmentation_set`` makes; a split without labels counts 0."""
+    named = images.withColumn("split", F.when(F.col("split") == "valid", "val").otherwise(F.col("split")))
+    polygons = segmentation_set(labels, images).groupBy("split").agg(F.count(F.lit(1)).alias("polygons"))
+    every = named.groupBy("split").agg(F.countDistinct("stem").alias("images"))
+    return every.join(polygons, "split", "left").select("split", "images", F.coalesce("polygons", F.lit(0)).cast("bigint").alias("polygons"))
+
+
 def unlabelled(manifest: DataFrame, labelled: DataFrame, key: str) -> DataFrame:
     """Rows that no split has a label for."""
     return manifest.join(labelled.select(key).distinct(), key, "left_anti")
@@ -65,8 +75,15 @@ def assign_tiers(rows: DataFrame, params: LabelParams = LabelParams(), skip_remo
 
 
 def datasets_union(datasets: dict[str, DataFrame]) -> DataFrame:
-    """Label rows of several datasets with a ``dataset`` column; a set needs ``train`` and ``val`` or ``valid``."""
+    """Label rows of several datasets with a ``dataset`` column; a set needs ``train`` and
+    ``val`` or ``valid``, else ``FileNotFoundError``. One aggregate looks at the splits of all."""
     out = None
+    if datasets:
+        spaces = reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("dataset"), "split") for n, df in datasets.items()])
+        found = {(r.dataset, r.split) for r in spaces.distinct().collect()}  # a few splits a dataset
+        for name in datasets:
+            if (name, "train") not in found or not {(name, "val"), (name, "valid")} & found:
+                raise FileNotFoundError(f"dataset {name} has no train split or neither val nor valid")
     for name, df in datasets.items():
         part = df.withColumn("split", F.when(F.col("split") == "valid", "val").otherwise(F.col("split"))).withColumn("dataset", F.lit(name))
         out = part if out is None else out.unionByName(part)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rallyloom.functions.geometry import distance, seconds, within_court, zone
 from rallyloom.operators.events import ball_contacts, in_play, net_crossings, rallies, to_court
 from rallyloom.params import EventParams
+from rallyloom.sources.scratch import stored
 
 
 def stationary_tracks(feet: DataFrame, params: EventParams = EventParams()) -> DataFrame:
@@ -57,11 +58,14 @@ def match_stats(ball: DataFrame, feet: DataFrame, homographies: DataFrame, clips
     zone_occupancy, excluded_stationary_track_ids``.
 
     ``clips`` has ``clip, video, fps, first_frame, last_frame``. The lists of a
-    document are per clip, as a rally or touch is a few rows a minute.
+    document are per clip, as a rally or touch is a few rows a minute. Tables that
+    several parts of the document need are stored, so that inputs are read once.
     """
-    ball_court = to_court(ball, homographies)
-    rally = rallies(ball_court, net_crossings(ball_court, params), params)
-    players = in_play(active_positions(feet, homographies, params), rally)
+    ball_court = stored(to_court(ball, homographies), "ball-court")
+    feet = stored(feet, "feet")
+    rally = stored(rallies(ball_court, net_crossings(ball_court, params), params), "rallies")
+    players = stored(in_play(active_positions(feet, homographies, params), rally), "players")
+    ball = ball_court.select("clip", "frame_idx", "cx", "cy")
     touched = touches(in_play(ball_contacts(ball, params), rally), ball_court, players)
     fps = clips.select("clip", "fps")
     r = rally.join(fps, "clip").groupBy("clip").agg(

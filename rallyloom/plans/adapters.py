@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as frames of four clips."""
     clip = F.col("user_id") % 4
     number = F.row_number().over(Window.partitionBy(clip).orderBy("event_id")).cast("bigint") - 1
@@ -30,9 +30,13 @@ def _cy() -> Column:
     return lit(200) + lit(12) * F.abs(F.col("frame_idx") % 60 - 30) + F.least(F.col("value"), lit(20)) / lit(10)
 
 
+def ball_of(every: DataFrame) -> DataFrame:
+    seen = every.where(F.col("frame_idx") % 400 < 300)
+    return seen.select("clip", "frame_idx", (lit(640) + F.least(F.col("value"), lit(50))).alias("cx"), _cy().alias("cy"))
+
+
 def ball(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _frames(spark, sf_dir).where(F.col("frame_idx") % 400 < 300)
-    return frames.select("clip", "frame_idx", (lit(640) + F.least(F.col("value"), lit(50))).alias("cx"), _cy().alias("cy"))
+    return ball_of(frames(spark, sf_dir))
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,24 +49,28 @@ def homographies(spark: SparkSession) -> DataFrame:
     return spark.range(4).select(F.col("id").alias("clip"), *[lit(v).alias(n) for n, v in zip(names, HOMOGRAPHY)])
 
 
-def feet(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feet_of(every: DataFrame) -> DataFrame:
     """Foot points of six tracks in every ball frame; the sixth stands still."""
     f, p = F.col("frame_idx"), F.col("track_id")
-    tracks = ball(spark, sf_dir).select("clip", "frame_idx", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(6).cast("bigint"))).alias("track_id"))
+    tracks = ball_of(every).select("clip", "frame_idx", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(6).cast("bigint"))).alias("track_id"))
     fx = F.when(p == 6, lit(200) + f % 3).otherwise(lit(250) + 130 * p + (f * (p + 2)) % 200)
     fy = F.when(p == 6, lit(300)).otherwise(lit(180) + 60 * p + (f * (2 * p + 1)) % 170)
     return tracks.select("clip", "frame_idx", "track_id", fx.alias("fx"), fy.alias("fy"))
 
 
-def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _frames(spark, sf_dir).groupBy("clip").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
+def feet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feet_of(frames(spark, sf_dir))
+
+
+def clips_of(every: DataFrame) -> DataFrame:
+    spans = every.groupBy("clip").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
     return spans.select("clip", F.concat(F.lit("clip_"), F.col("clip").cast("string"), F.lit(".mp4")).alias("video"), lit(FPS).alias("fps"), "first_frame", "last_frame")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ball candidates with decoys: ``clip, frame_idx, ord, cx, cy, confidence``."""
     f = F.col("frame_idx")
-    kept = _frames(spark, sf_dir).where((f % 400 < 300) & (f % 7 != 3))
+    kept = frames(spark, sf_dir).where((f % 400 < 300) & (f % 7 != 3))
     cx = lit(640) + lit(140) * (F.floor(f / 25) % 2) + F.least(F.col("value"), lit(20)) / lit(4)
     base = kept.select("clip", "frame_idx", "event_type", cx.alias("cx"), _cy().alias("cy"), (lit(0.05) + F.least(F.col("value"), lit(90)) / lit(100)).alias("conf"))
     kind = F.col("event_type")

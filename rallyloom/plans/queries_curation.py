@@ -204,7 +204,9 @@ def video_summary(spark, d):
 def homography_reprojection(spark, d):
     """Points placed by a known matrix: fitted, then projected back to the court and out again."""
     reference = calibration.reference_points(spark)
-    pixels = calibration.to_pixels(reference.crossJoin(spark.range(4).select(F.col("id").alias("clip"))), ad.homographies(spark), "court_x", "court_y")
+    homographies = ad.homographies(spark)
+    placed = homographies.select("clip", F.inline(calibration.reference_array()))
+    pixels = calibration.to_pixels(placed, homographies, "court_x", "court_y")
     fitted = calibration.fit_homographies(pixels.select("clip", "label", "px", "py"), reference)
     from rallyloom.operators.events import to_court
 
@@ -265,7 +267,7 @@ def sampled_frames(spark, d):
 
 
 def court_lines(spark, d):
-    lines = frames.court_lines(spark, ad.homographies(spark))
+    lines = frames.court_lines(ad.homographies(spark))
     return lines.select("clip", "line", *[geo.fixed(F.col(c), 3).alias(c) for c in ("px1", "py1", "px2", "py2")])
 
 

@@ -9,6 +9,7 @@ from rallyloom.functions.geometry import fixed, half_even, lit, seconds
 from rallyloom.operators import events as ev
 from rallyloom.operators import gapfill, stats, tracking
 from rallyloom.plans import adapters as ad
+from rallyloom.sources.scratch import stored
 
 
 def _court(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +73,8 @@ def zone_occupancy_wide(spark, d):
 
 
 def match_stats_doc(spark, d):
-    return stats.match_stats(ad.ball(spark, d), ad.feet(spark, d), ad.homographies(spark), ad.clips(spark, d))
+    frames = stored(ad.frames(spark, d), "frames")
+    return stats.match_stats(ad.ball_of(frames), ad.feet_of(frames), ad.homographies(spark), ad.clips_of(frames))
 
 
 def match_stats_summary(spark, d):

@@ -34,29 +34,30 @@ def test_seed_and_extend(spark, tracker, rows, want):
 
 @BOTH
 def test_near_candidate_beats_confident_decoy(spark, tracker):
-    got = accepted(spark, {3: [(5, 5, 0.9)], 4: [(900, 900, 0.95), (10, 8, 0.4)]}, tracker)
-    assert sorted(got) == [3, 4]
-    x = got[4].px if tracker == "kalman" else got[4].cx
-    assert abs(x - 10) < 2
+    got = accepted(spark, {7: [(310, 240, 0.8)], 8: [(1100, 60, 0.97), (318, 233, 0.35)]}, tracker)
+    assert sorted(got) == [7, 8]
+    x = got[8].px if tracker == "kalman" else got[8].cx
+    assert abs(x - 318) < 2
 
 
 @BOTH
 def test_jump_beyond_the_bound(spark, tracker):
-    assert sorted(accepted(spark, {3: [(5, 5, 0.9)], 4: [(995, 5, 0.9)], 5: [(996, 5, 0.9)]}, tracker, hard_speed=50.0)) == [3]
+    far = {20: [(60, 400, 0.7)], 21: [(130, 400, 0.7)], 22: [(131, 401, 0.7)]}
+    assert sorted(accepted(spark, far, tracker, hard_speed=30.0)) == [20]
 
 
 def test_heuristic_needs_a_follow_up(spark):
-    jump = {3: [(5, 5, 0.9)], 4: [(155, 155, 0.9)]}
-    assert sorted(accepted(spark, jump, "heuristic")) == [3]
-    assert 4 in accepted(spark, jump | {5: [(157, 157, 0.9)]}, "heuristic")
+    jump = {11: [(400, 90, 0.6)], 12: [(280, 170, 0.6)]}
+    assert sorted(accepted(spark, jump, "heuristic")) == [11]
+    assert 12 in accepted(spark, jump | {13: [(262, 181, 0.6)]}, "heuristic")
 
 
 def test_contact_reseeds(spark):
-    steady = {3 + i: [(100 + 15 * i, 100 + 10 * i, 0.9)] for i in range(10)}
-    back = {13: [(235 - 200, 190, 0.9)], 14: [(235 - 230, 190, 0.9)]}
-    got = accepted(spark, steady | back, "kalman")
-    assert got[13].is_contact and got[13].vx < 0 and not got[14].is_contact
-    assert 13 not in accepted(spark, steady | {13: back[13]}, "kalman")
+    rising = {50 + i: [(700 - 22 * i, 500 - 6 * i, 0.75)] for i in range(14)}
+    returned = {64: [(610, 380, 0.75)], 65: [(655, 372, 0.75)]}
+    got = accepted(spark, rising | returned, "kalman")
+    assert got[64].is_contact and got[64].vx > 0 and not got[65].is_contact
+    assert 64 not in accepted(spark, rising | {64: returned[64]}, "kalman")
 
 
 def test_fold_equals_six_state_filter():
@@ -121,6 +122,115 @@ def test_players_keep_their_ids(spark):
     assert len(ends) == 1
 
 
+def reference_tracks(frames, fps, p):
+    """The published two-stage association with an eight-state filter and every assignment tried."""
+    from itertools import permutations
+
+    std_p, std_v = 1 / 20, 1 / 160
+    move = np.eye(8) + np.eye(8, k=4)
+
+    def state(b):
+        w, h = b[2] - b[0], b[3] - b[1]
+        return np.array([(b[0] + b[2]) / 2, (b[1] + b[3]) / 2, w / h, h])
+
+    def box(t):
+        cx, cy, a, h = t["x"][:4]
+        return np.array([cx - a * h / 2, cy - h / 2, cx + a * h / 2, cy + h / 2])
+
+    def iou(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        inter = max(w, 0) * max(h, 0)
+        return inter / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter)
+
+    def match(tracks, found, limit, fuse):
+        cost = [[1 - iou(box(t), b) * (s if fuse else 1) for b, s in found] for t in tracks]
+        best, chosen = 0.0, []
+        slots = [*range(len(found)), *[None] * len(tracks)]
+        for order in set(permutations(slots, len(tracks))):
+            pairs = [(i, j) for i, j in enumerate(order) if j is not None]
+            if all(cost[i][j] <= limit for i, j in pairs):
+                value = sum(cost[i][j] - limit for i, j in pairs)
+                if value < best - 1e-12:
+                    best, chosen = value, pairs
+        return chosen
+
+    def noise(h, sp, sv):
+        return np.diag(np.array([sp * h, sp * h, 1e-2, sp * h, sv * h, sv * h, 1e-5, sv * h]) ** 2)
+
+    tracks, given, out, begin = [], 0, [], min(frames)
+    for f in range(begin, max(frames) + 1):
+        boxes = frames.get(f, [])
+        for t in tracks:
+            if t["lost"]:
+                t["x"][7] = 0
+            t["x"], t["cov"] = move @ t["x"], move @ t["cov"] @ move.T + noise(t["x"][3], std_p, std_v)
+        strong, weak = [b for b in boxes if b[1] > p.high_conf], [b for b in boxes if p.low_conf < b[1] < p.high_conf]
+        left = list(strong)
+
+        def update(t, b):
+            nonlocal given
+            h = t["x"][3]
+            r = np.diag(np.array([std_p * h, std_p * h, 1e-1, std_p * h]) ** 2)
+            gain = t["cov"][:, :4] @ np.linalg.inv(t["cov"][:4, :4] + r)
+            t["x"], t["cov"] = t["x"] + gain @ (state(b[0]) - t["x"][:4]), t["cov"] - gain @ t["cov"][:4]
+            t.update(hits=t["hits"] + 1, last=f, lost=False)
+            if t["id"] is None and t["hits"] >= p.min_consecutive:
+                given += 1
+                t["id"] = given
+            if t["id"] is not None:
+                out.append((f, t["id"], tuple(b[0])))
+
+        known, young = [t for t in tracks if t["id"] is not None], [t for t in tracks if t["id"] is None]
+        pairs = match(known, strong, p.match, True)
+        for i, j in pairs:
+            update(known[i], strong[j])
+        left = [b for j, b in enumerate(strong) if j not in {j for _, j in pairs}]
+        rest = [t for i, t in enumerate(known) if i not in {i for i, _ in pairs} and not t["lost"]]
+        pairs = match(rest, weak, p.second_match, False)
+        for i, j in pairs:
+            update(rest[i], weak[j])
+        for i, t in enumerate(rest):
+            t["lost"] = t["lost"] or i not in {i for i, _ in pairs}
+        pairs = match(young, left, p.unconfirmed_match, True)
+        for i, j in pairs:
+            update(young[i], left[j])
+        gone = [id(t) for i, t in enumerate(young) if i not in {i for i, _ in pairs}]
+        tracks = [t for t in tracks if id(t) not in gone and not (t["lost"] and f - t["last"] > int(round(fps) / 30 * p.lost_buffer))]
+        for j, b in enumerate(left):
+            if j not in {j for _, j in pairs} and b[1] >= p.high_conf + 0.1:
+                h = b[0][3] - b[0][1]
+                t = {"x": np.r_[state(b[0]), np.zeros(4)], "cov": noise(h, 2 * std_p, 10 * std_v), "id": None, "hits": 1, "last": f, "lost": False}
+                if f == begin:
+                    given += 1
+                    t["id"] = given
+                    out.append((f, given, tuple(b[0])))
+                tracks.append(t)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_players_against_brute_force(spark, seed):
+    """Crossing players, weak and missing boxes, false boxes, a hole in the clip."""
+    rng, p = np.random.default_rng(seed), PlayerParams(lost_buffer=5)
+    frames = {}
+    for f in [*range(60), *range(70, 110)]:
+        found = []
+        for k in range(3):
+            x, y = 200 + 150 * k + (6 - 5 * k) * f + rng.normal(0, 2), 300 + 20 * k + rng.normal(0, 2)
+            if rng.uniform() > 0.12:
+                found.append((np.array([x - 25, y - 100, x + 25, y]).astype(np.float32).astype(float), float(rng.uniform(0.15, 0.99))))
+        if rng.uniform() < 0.1:
+            x = rng.uniform(0, 900)
+            found.append((np.array([x, 10, x + 30, 90]).astype(np.float32).astype(float), 0.9))
+        frames[f] = found
+    rows = [(0, f, *map(float, b), s, i) for f, found in frames.items() for i, (b, s) in enumerate(found)]
+    df = spark.createDataFrame(rows, "clip bigint, frame_idx bigint, x1 double, y1 double, x2 double, y2 double, confidence double, ord int")
+    got = players.player_tracks(df, 30.0, p).collect()
+    want = reference_tracks(frames, 30.0, p)
+    assert len({t for _, t, _ in want}) > 3
+    assert sorted((r.frame_idx, r.track_id, (r.x1, r.y1, r.x2, r.y2)) for r in got) == sorted(want)
+
+
 def test_a_single_box_is_no_track(spark):
     df = boxes(spark, {0: [(100.0, 300.0)], 1: [(100.0, 300.0)], 2: [(100.0, 300.0), (700.0, 300.0)], 3: [(100.0, 300.0)]})
     assert players.player_tracks(df, 30.0).select("track_id").distinct().count() == 1
