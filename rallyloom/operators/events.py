@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyloom.functions.geometry import project, within_court
+from rallyloom.operators.spread import block_of, in_block, pieces, with_guests
 from rallyloom.params import COURT_WIDTH_M, NET_Y_M, EventParams
 
 H_COLUMNS = [f"h{i}{j}" for i in range(3) for j in range(3)]
@@ -18,10 +19,6 @@ def to_court(points: DataFrame, homographies: DataFrame, px: str = "cx", py: str
     return joined.withColumn("x", x).withColumn("y", y).drop(*H_COLUMNS)
 
 
-def _frames() -> Window:
-    return Window.partitionBy("clip").orderBy("frame_idx")
-
-
 def ball_contacts(ball: DataFrame, params: EventParams = EventParams()) -> DataFrame:
     """Frames where the ball is lowest on the screen (pixel y at its maximum).
 
@@ -29,43 +26,36 @@ def ball_contacts(ball: DataFrame, params: EventParams = EventParams()) -> DataF
     excursion in the window must reach the minimum.
     """
     r = params.contact_radius
-    around, before = _frames().rangeBetween(-r, r), _frames().rangeBetween(-r, -1)
+    around, before = in_block().rangeBetween(-r, r), in_block().rangeBetween(-r, -1)
     cy = F.col("cy")
-    found = ball.select(
-        "clip", "frame_idx", "cy",
+    found = with_guests(ball, r, r).select(
+        "clip", "frame_idx", "cy", "at_home",
         F.count(F.lit(1)).over(around).alias("n"), F.max(cy).over(around).alias("hi"), F.min(cy).over(around).alias("lo"),
         F.max(cy).over(before).alias("earlier"),
     )
     peak = (F.col("n") == 2 * r + 1) & (cy == F.col("hi")) & (cy - F.col("lo") >= params.contact_min_excursion)
-    return found.where(peak & (F.col("earlier").isNull() | (F.col("earlier") < cy))).select("clip", "frame_idx", "cy")
+    return found.where(F.col("at_home") & peak & (F.col("earlier").isNull() | (F.col("earlier") < cy))).select("clip", "frame_idx", "cy")
 
 
 def net_crossings(court: DataFrame, params: EventParams = EventParams()) -> DataFrame:
     """The later frame of each adjacent pair on different sides of the net, both near it in x."""
     net = F.lit(NET_Y_M)
     low, high = F.lit(-params.crossing_x_margin), F.lit(COURT_WIDTH_M + params.crossing_x_margin)
-    w = _frames()
-    pairs = court.select(
-        "clip", "frame_idx", "x", "y",
+    w = in_block()
+    pairs = with_guests(court, 1, 0).select(
+        "clip", "frame_idx", "x", "y", "at_home",
         F.lag("frame_idx").over(w).alias("pf"), F.lag("x").over(w).alias("px"), F.lag("y").over(w).alias("py"),
     )
     sides = ((F.col("py") < net) & (F.col("y") > net)) | ((F.col("py") > net) & (F.col("y") < net))
     inside = F.col("x").between(low, high) & F.col("px").between(low, high)
-    return pairs.where((F.col("frame_idx") - F.col("pf") == 1) & sides & inside).select("clip", "frame_idx")
+    return pairs.where(F.col("at_home") & (F.col("frame_idx") - F.col("pf") == 1) & sides & inside).select("clip", "frame_idx")
 
 
 def _segments(court: DataFrame, params: EventParams) -> DataFrame:
     """Gaps and islands over in-bounds frames."""
-    inside = court.where(within_court(F.col("x"), F.col("y"), params.bounds_margin))
-    w = _frames()
-    gap = F.col("frame_idx") - F.lag("frame_idx").over(w)
-    flagged = inside.select("clip", "frame_idx", F.coalesce((gap > params.max_dead_gap).cast("int"), F.lit(1)).alias("starts"))
-    numbered = flagged.withColumn("segment", F.sum("starts").over(w))
-    return numbered.groupBy("clip", "segment").agg(F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"))
-
-
-#: Frames of a block of the range join, about as many as a rally has.
-BLOCK_FRAMES = 512
+    inside = court.where(within_court(F.col("x"), F.col("y"), params.bounds_margin)).select("clip", "frame_idx")
+    runs = pieces(inside, params.max_dead_gap).groupBy("clip", "piece")
+    return runs.agg(F.min("frame_idx").alias("start_frame"), F.max("frame_idx").alias("end_frame"))
 
 
 def within(points: DataFrame, spans: DataFrame, how: str) -> DataFrame:
@@ -75,9 +65,8 @@ def within(points: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     block only. So the work follows frames and spans, not their product, and a long
     clip spreads over tasks.
     """
-    block = lambda c: F.floor(c / BLOCK_FRAMES).cast("bigint")
-    s = spans.withColumnRenamed("clip", "_clip").withColumn("_block", F.explode(F.sequence(block(F.col("start_frame")), block(F.col("end_frame")))))
-    on = (points["clip"] == s["_clip"]) & (block(points["frame_idx"]) == s["_block"]) & points["frame_idx"].between(s["start_frame"], s["end_frame"])
+    s = spans.withColumnRenamed("clip", "_clip").withColumn("_block", F.explode(F.sequence(block_of(F.col("start_frame")), block_of(F.col("end_frame")))))
+    on = (points["clip"] == s["_clip"]) & (block_of(points["frame_idx"]) == s["_block"]) & points["frame_idx"].between(s["start_frame"], s["end_frame"])
     joined = points.join(s, on, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop("_clip", "_block")
 

@@ -66,6 +66,7 @@ def test_a_silent_clip_is_released_by_its_timer(spark, tmp_path):
 def test_no_product_of_points_and_rallies(spark):
     """The range join works block by block: twice the clip makes twice the pairs, not four times."""
     from rallyloom.operators import events as ev
+    from rallyloom.operators.spread import block_of
 
     sizes = []
     for n in (4_000, 8_000):
@@ -73,9 +74,8 @@ def test_no_product_of_points_and_rallies(spark):
         spans = spark.range(n // 100).select(F.lit(0).cast("bigint").alias("clip"), (F.col("id") * 100).alias("start_frame"), (F.col("id") * 100 + 49).alias("end_frame"))
         found = ev.within(points, spans, "inner")
         assert found.count() == n // 2 and ev.within(points, spans, "left_semi").count() == n // 2
-        block = F.floor(F.col("frame_idx") / ev.BLOCK_FRAMES)
-        touched = spans.select(F.explode(F.sequence(F.floor(F.col("start_frame") / ev.BLOCK_FRAMES), F.floor(F.col("end_frame") / ev.BLOCK_FRAMES))).alias("b"))
-        sizes.append(points.join(touched, block == F.col("b")).count())
+        touched = spans.select(F.explode(F.sequence(block_of(F.col("start_frame")), block_of(F.col("end_frame")))).alias("b"))
+        sizes.append(points.join(touched, block_of(F.col("frame_idx")) == F.col("b")).count())
     assert sizes[1] <= 2.2 * sizes[0]
 
 
