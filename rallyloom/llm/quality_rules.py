@@ -33,18 +33,21 @@ class QualityParams:
 def _with_cover(df: DataFrame) -> DataFrame:
     """Add ``n_repeat_words`` to rows of ``words, n_words``: words inside 3-word windows that the text holds twice or more.
 
-    Windows are strings (words hold no space, so joining by one is injective).
-    Only texts with a repeated window sort theirs; neighbours in that order that
-    are equal are the repeated ones, and gaps between their positions give the
-    number of words covered.
+    Windows are compared by 64-bit hash first. Only in texts that hold a hash twice
+    are the windows of such hashes made as strings (words hold no space, so joining
+    by one is injective) and sorted; neighbours in that order that are equal are the
+    repeated ones, and gaps between their positions give the number of words covered.
     """
     at = lambda i: F.get("words", i)
     starts = F.when(F.col("n_words") >= 3, F.sequence(F.lit(0), F.col("n_words").cast("int") - 3)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("windows", F.transform(starts, lambda i: F.concat_ws(" ", at(i), at(i + 1), at(i + 2))))
-    twice = F.size(F.array_distinct("windows")) < F.size("windows")
-    df = df.withColumn("sorted", F.when(twice, F.sort_array(F.transform("windows", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))))
-    df = df.withColumn("repeated", _repeated("sorted", "t")).withColumn("n_repeat_words", _covered("repeated"))
-    return df.drop("windows", "sorted", "repeated")
+    df = df.withColumn("hashes", F.transform(starts, lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2))))
+    twice = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    df = df.withColumn("by_hash", F.when(twice, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = df.withColumn("likely", _repeated("by_hash", "h"))
+    window = lambda i: F.concat_ws(" ", at(i), at(i + 1), at(i + 2))
+    df = df.withColumn("by_text", F.when(F.size("likely") > 0, F.sort_array(F.transform("likely", lambda i: F.struct(window(i).alias("t"), i.alias("i"))))))
+    df = df.withColumn("repeated", _repeated("by_text", "t")).withColumn("n_repeat_words", _covered("repeated"))
+    return df.drop("hashes", "by_hash", "likely", "by_text", "repeated")
 
 
 def _repeated(array: str, field: str) -> Column:
