@@ -40,7 +40,7 @@ class MixParams:
     tolerance: float = 1e-12
     newton_steps: int = 100
     #: Rows of one source and size that are ranked in one task, about.
-    rank_rows: int = 100_000
+    rank_rows: int = 10_000
 
 
 def _ranked_sources(by_source: DataFrame) -> DataFrame:
