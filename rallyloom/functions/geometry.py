@@ -128,7 +128,3 @@ def ellipse_polygon(cx: Column, cy: Column, w: Column, h: Column, points: int =
 def mean_abs_difference(a: Column, b: Column) -> Column:
     total = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), lit(0), lambda acc, x: acc + x)
     return F.coalesce(F.try_divide(total, F.size(a)), lit(0))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

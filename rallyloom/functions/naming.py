@@ -18,10 +18,6 @@ def name_of(frame: Column) -> Column:
     return F.split_part(frame, F.lit("/"), F.lit(2))
 
 
-def in_clip(frame: Column, clip: Column) -> Column:
-    return frame.startswith(F.concat(clip, F.lit("/")))
-
-
 def flat_key(parent: Column, name: Column) -> Column:
     """The basename that a frame has in a training folder."""
     return F.concat_ws("_", parent, name)

@@ -27,11 +27,6 @@ def frame_range(df: DataFrame, start: int = 0, max_frames: int | None = None) ->
     return df.where(f.between(start, start + max_frames - 1) if max_frames else f >= start)
 
 
-def domain(clips: DataFrame) -> DataFrame:
-    """Every frame number of ``clip, first_frame, last_frame``."""
-    return clips.select("clip", F.explode(F.sequence("first_frame", "last_frame")).alias("frame_idx"))
-
-
 def sampled(frames: DataFrame, clips: DataFrame, count: int) -> DataFrame:
     """The frames of a spread sample (``clips``: ``clip, total``)."""
     wanted = clips.select("clip", F.explode(sample_indices(F.col("total"), F.lit(count), distinct=True)).alias("frame_idx"))
