@@ -38,6 +38,8 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 MARGIN = 5.5
 #: Members and shingles of a block, about; a task compares two blocks at most.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+#: Shares into which the members of a large group are dealt where they meet its row.
+SALTS = 64
 
 
 
@@ -221,36 +223,49 @@ def _linked(width: int, percent: int):
     return run
 
 
-def _sized(members: DataFrame) -> DataFrame:
-    """Groups and their blocks, stored: the joins with it are plain ones, whose hot keys adaptive execution splits."""
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-    return materialise(members.groupBy("pivot").agg(blocks.alias("blocks")), "near-sizes")
+def _blocks(name: str) -> Column:
+    return F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias(name)
+
+
+def _large(members: DataFrame) -> DataFrame:
+    """``pivot, blocks`` of the groups of more than one block, stored."""
+    return materialise(members.groupBy("pivot").agg(_blocks("blocks")).where("blocks > 1"), "near-large")
+
+
+def _by_pivot(members: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """``members`` with the columns of ``groups`` (a row a pivot, large groups only). A group's
+    members are dealt over salts, so that a hot pivot is in many tasks."""
+    salted = groups.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    salt = F.pmod(F.xxhash64("gid", F.lit(1)), F.lit(SALTS))
+    return members.withColumn("salt", salt).join(salted.hint("merge"), ["pivot", "salt"], how).drop("salt")
 
 
 def _own(blocks: str) -> Column:
     return F.pmod(F.xxhash64("gid"), F.col(blocks))
 
 
-def _within_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+def _upto(n: str) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+
+
+def _within_blocks(members: DataFrame, large: DataFrame) -> DataFrame:
     """``pivot, i, j, gid, n``: every member in its own block, and the pivot in every block."""
-    dealt = members.join(sizes.hint("merge"), "pivot")
+    dealt = _by_pivot(members, large, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("bigint"))
     own = dealt.select("pivot", _own("blocks").alias("i"), _own("blocks").alias("j"), "gid", "n")
-    every = dealt.where((F.col("gid") == F.col("pivot")) & (F.col("blocks") > 1))
-    every = every.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("i"), F.col("i").alias("j"), "gid", "n")
+    pivots = large.select("pivot", F.explode(_upto("blocks")).alias("i"))
+    every = members.where("gid = pivot").join(pivots.hint("merge"), "pivot").select("pivot", "i", F.col("i").alias("j"), "gid", "n")
     return own.unionByName(every)
 
 
-def _across_blocks(members: DataFrame, sizes: DataFrame, linked: DataFrame) -> DataFrame:
+def _across_blocks(members: DataFrame, large: DataFrame, linked: DataFrame) -> DataFrame:
     """``pivot, i, j, gid, n``: members that are not linked with the pivot, in blocks i of
     their own, with every block j of their group. A pair of linked members need not meet."""
-    # Stored between joins on the pivot: each then deals its rows anew, and adaptive execution can split a hot pivot.
-    large = materialise(members.join(sizes.where("blocks > 1").hint("merge"), "pivot"), "near-large")
-    apart = large.where("gid <> pivot").join(linked.hint("merge"), ["pivot", "gid"], "left_anti")
-    apart = materialise(apart, "near-apart")
-    few = materialise(apart.groupBy("pivot").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("rows")), "near-apart-sizes")
-    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
-    a = apart.join(few.hint("merge"), "pivot").select("pivot", _own("rows").alias("i"), F.explode(upto("blocks")).alias("j"), "gid", "n")
-    b = large.join(few.hint("merge"), "pivot").select("pivot", F.explode(upto("rows")).alias("i"), _own("blocks").alias("j"), "gid", "n")
+    inside = _by_pivot(members, large)
+    apart = materialise(inside.where("gid <> pivot").join(linked.hint("merge"), ["pivot", "gid"], "left_anti"), "near-apart")
+    few = materialise(apart.groupBy("pivot").agg(_blocks("rows")), "near-apart-sizes")
+    a = _by_pivot(apart, few).select("pivot", _own("rows").alias("i"), F.explode(_upto("blocks")).alias("j"), "gid", "n")
+    both = large.join(few, "pivot")
+    b = _by_pivot(members, both).select("pivot", F.explode(_upto("rows")).alias("i"), _own("blocks").alias("j"), "gid", "n")
     return a.unionByName(b).distinct()
 
 
@@ -313,11 +328,11 @@ def _components(base: DataFrame, width: int, percent: int, k: int) -> DataFrame:
     lists = _lists(classes, percent, k)
     pivots = lists.groupBy("value").agg(F.min("gid").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").select("value", "pivot")
     members = materialise(lists.join(pivots.hint("merge"), "value").select("pivot", "gid", "n").distinct(), "near-members")
-    sizes = _sized(members)
-    links = _links(base, classes, _within_blocks(members, sizes), width, percent, k)
-    if not sizes.where("blocks > 1").isEmpty():
+    large = _large(members)
+    links = _links(base, classes, _within_blocks(members, large), width, percent, k)
+    if not large.isEmpty():
         linked = links.where(F.col("a") == F.col("pivot")).select("pivot", F.col("b").alias("gid"))
-        more = _links(base, classes, _across_blocks(members, sizes, linked), width, percent, k)
+        more = _links(base, classes, _across_blocks(members, large, linked), width, percent, k)
         links = links.unionByName(more)
     roots = connected_components(links.select("a", "b").distinct()).select(F.col("node").alias("gid"), "root")
     found = classes.select("gid", "digest", "first").join(roots.hint("merge"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
