@@ -220,12 +220,29 @@ def unpack_numbers(raw: bytes) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted distinct hashes, as the gaps between them."""
-    return len(keys).to_bytes(4, "little") + _narrow(np.diff(keys, prepend=np.uint64(0)))
+    """Sorted distinct hashes, as the gaps between them. Low bytes of gaps are noise and stay
+    as they are; the highest bytes are mostly small and are compressed."""
+    if not len(keys):
+        return b""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    gaps[0] = 0  # the first hash is stored whole
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(gaps, "<u8").view(np.uint8).reshape(-1, 8)
+    low, high = planes[:, : width - 1].tobytes(), zstandard.ZstdCompressor(level=1).compress(planes[:, width - 1].tobytes())
+    return len(keys).to_bytes(4, "little") + bytes([width]) + int(keys[0]).to_bytes(8, "little") + low + high
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
-    return np.cumsum(_wide(raw[4:], int.from_bytes(raw[:4], "little")), dtype=np.uint64)
+    if not raw:
+        return np.empty(0, np.uint64)
+    n, width = int.from_bytes(raw[:4], "little"), raw[4]
+    planes = np.zeros((n, 8), np.uint8)
+    at = 13 + n * (width - 1)
+    planes[:, : width - 1] = np.frombuffer(raw, np.uint8, n * (width - 1), 13).reshape(n, width - 1)
+    planes[:, width - 1] = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[at:]), np.uint8)
+    gaps = planes.view("<u8").reshape(n)
+    gaps[0] = int.from_bytes(raw[5:13], "little")
+    return np.cumsum(gaps, dtype=np.uint64)
 
 
 def joined(parts: list[bytes]) -> bytes:
