@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyloom.llm.blocks import BLOCK_BYTES, FANOUT, Dictionary, exchange
-from rallyloom.llm.common import keyed, named
+from rallyloom.llm.common import keyed, of_row
 from rallyloom.llm.prefix_bpe import byte_letters
 
 #: Characters that some library calls white space and that are no ASCII white space.
@@ -173,7 +173,7 @@ def decode_ids(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", ids: str =
     ids where they are; a row's pieces are put in order by position. Null ids and
     empty lists give an empty text; repeated rows stay apart.
     """
-    stored = keyed(df, "decode", doc_id=named(doc_id).cast("bigint"), ids=named(ids)).select("key", "doc_id", "ids")
+    stored = keyed(df, "decode").select("key", of_row(doc_id).cast("bigint").alias("doc_id"), of_row(ids).alias("ids"))
     tokens = stored.select("key", F.posexplode("ids").alias("at", "id"))
     pieces = tokens.join(F.broadcast(vocabulary_table(df.sparkSession, tokenizer)), "id")
     whole = pieces.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", F.hex("piece").alias("piece")))).alias("pieces"))

@@ -87,17 +87,28 @@ def discard(*tables: DataFrame | None) -> None:
             place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def reads(df: DataFrame, tables: list[DataFrame]) -> bool:
+    """Whether ``df`` is made of one of these stored tables."""
+    paths = [t._scratch_path for t in tables]
+    return any(p.split(":", 1)[-1].lstrip("/") in f for f in df.inputFiles() for p in paths)
+
+
 def named(column: str) -> Column:
     """A column by its whole name, dots included."""
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def keyed(df: DataFrame, tag: str, **columns: Column) -> DataFrame:
-    """``key, row`` and the given columns, stored: ``row`` holds all columns of ``df``,
+def of_row(column: str) -> Column:
+    """A column of the rows of a ``keyed`` table; only what is asked for is read."""
+    return F.col("row").getField(column)
+
+
+def keyed(df: DataFrame, tag: str) -> DataFrame:
+    """``key, row``, stored: ``row`` holds all columns of ``df`` (``of_row``),
     ``key`` tells apart rows that are equal in every column, so verdicts hold for rows
     and not for ids, which may be null or repeat. No name of ``df`` can clash."""
     row = F.struct(*[named(c) for c in df.columns]) if df.columns else F.struct(F.lit(0).alias("none"))
-    return materialise(df.select(row.alias("row"), *[c.alias(n) for n, c in columns.items()]).withColumn("key", F.monotonically_increasing_id()), tag)
+    return materialise(df.select(row.alias("row")).withColumn("key", F.monotonically_increasing_id()), tag)
 
 
 #: Bits of a filter that spares rows a shuffle: 512 parts of 4 KiB, 2 MiB at any size of the input.

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyloom.llm.common import SPACES, discard, filter_parts, keyed, materialise, named, possibly, without
+from rallyloom.llm.common import SPACES, discard, filter_parts, keyed, materialise, named, of_row, possibly, without
 
 #: Bytes of the first digit and how much wider each next one is.
 FIRST_DIGIT, WIDER = 48, 24
@@ -117,7 +117,7 @@ def exact_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with their columns: exactly one of each group of
     equal texts, also where ids are null or repeat (of equal rows any one)."""
-    stored = keyed(df, "exact-input", doc_id=named(doc_id).cast("bigint"), text=named(text))
-    found = _verdicts(stored.select("key", "doc_id", "text"), FIRST_DIGIT, WIDER)
+    stored = keyed(df, "exact-input")
+    found = _verdicts(stored.select("key", of_row(doc_id).cast("bigint").alias("doc_id"), of_row(text).alias("text")), FIRST_DIGIT, WIDER)
     dropped = materialise(found.where("key <> keep_key").select("key"), "exact-dropped")
     return without(stored.select("key", "row"), dropped).select("row.*")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyloom.llm.common import WORD, discard, keyed, materialise, named
+from rallyloom.llm.common import WORD, discard, keyed, materialise, named, of_row
 
 
 @dataclass(frozen=True)
@@ -227,7 +227,8 @@ def mix_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
 def take_mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", params: MixParams = MixParams()) -> DataFrame:
     """The rows of ``df``, each as often as the mix takes that row, with their columns."""
-    stored = keyed(df, "mix-input", doc_id=named(doc_id).cast("bigint"), text=named(text), source=named(source).cast("string"))
-    copies = _mix(stored.select("key", "doc_id", "source", "text"), params).where("copies > 0").select("key", "copies")
+    stored = keyed(df, "mix-input")
+    base = stored.select("key", of_row(doc_id).cast("bigint").alias("doc_id"), of_row(source).cast("string").alias("source"), of_row(text).alias("text"))
+    copies = _mix(base, params).where("copies > 0").select("key", "copies")
     taken = stored.select("key", "row").join(copies, "key")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

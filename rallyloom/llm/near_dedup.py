@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyloom.llm.common import discard, filter_parts, keyed, materialise, named, possibly, without
+from rallyloom.llm.common import discard, filter_parts, keyed, materialise, named, of_row, possibly, without
 from rallyloom.llm.components import connected_components
 from rallyloom.llm.windows import window_hashes, word_ids
 
@@ -369,7 +369,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
     """The rows of ``df`` that stay, with their columns: exactly one of each component
     (the smallest id; of rows with one id any one), and every row without words."""
-    stored = keyed(df, "near-input", doc_id=named(doc_id).cast("bigint"), text=named(text))
-    found = _components(stored.select("key", "doc_id", "text"), width, percent, k)
+    stored = keyed(df, "near-input")
+    found = _components(stored.select("key", of_row(doc_id).cast("bigint").alias("doc_id"), of_row(text).alias("text")), width, percent, k)
     dropped = materialise(found.where("key <> first_key").select("key"), "near-dropped")
     return without(stored.select("key", "row"), dropped).select("row.*")
