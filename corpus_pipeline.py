@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rallyloom.llm.bpe import encode_documents
-from rallyloom.llm.common import discard, materialise, recording
+from rallyloom.llm.common import discard, materialise, reads, recording
 from rallyloom.llm.exact_dedup import drop_duplicates
 from rallyloom.llm.mixing import take_mix
 from rallyloom.llm.near_dedup import drop_near_duplicates
@@ -25,11 +25,14 @@ _left: dict[str, list[DataFrame]] = {}
 
 
 def _stage(operator: Callable[[DataFrame], DataFrame], docs: DataFrame, sf_dir: str) -> DataFrame:
-    """An operator that stores its input first. So what the stage before has stored can go,
-    also if ``docs`` are that stage's rows themselves and not a table made of them."""
+    """What the stage before has stored goes first, if ``docs`` are a table made of its rows;
+    if they are its rows themselves, it goes when this operator, which stores its input, is done."""
+    before = _left.pop(sf_dir, [])
+    later = before if reads(docs, before) else []
+    discard(*(() if later else before))
     with recording() as made:
         out = operator(docs)
-    discard(*_left.pop(sf_dir, ()))
+    discard(*later)
     _left[sf_dir] = made
     return out
 
