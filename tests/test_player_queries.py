@@ -1,8 +1,10 @@
 """The registered player tracking queries over clips of more than 400 frames."""
 
+import sys
+
 import numpy as np
 
-from rallyloom.operators.players import PlayerFold
+from rallyloom.operators.players import PlayerFold, player_tracks
 from rallyloom.params import PlayerParams
 from rallyloom.plans import adapters, registry
 
@@ -32,3 +34,35 @@ def test_every_frame_of_every_clip_is_tracked(spark, tmp_path):
     assert sorted((r.clip, r.track_id, r.frames, r.first_frame, r.last_frame) for r in rows) == want
     counts = registry.QUERIES["player_track_counts"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, counts)) == [(clip, len(spans)) for clip in range(4)]
+
+
+def test_work_of_a_frame_is_small():
+    """Function calls a frame: some thousand when every track held arrays of its own, so a million frames took most of an hour."""
+    fold, calls = PlayerFold(PlayerParams(), adapters.FPS), 0
+
+    def count(_frame, event, _arg) -> None:
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    for f in range(FRAMES):
+        found = boxes(f)
+        sys.setprofile(count if f >= 400 else None)
+        try:
+            fold.step(f, found, np.full(6, 0.8))
+        finally:
+            sys.setprofile(None)
+    assert calls / (FRAMES - 400) < 600
+
+
+def test_frames_cut_by_batches_are_whole(spark):
+    rows = [(c, f, *map(float, b), 0.8, i) for c in range(3) for f in range(40) for i, b in enumerate(boxes(f))]
+    df = spark.createDataFrame(rows, "clip bigint, frame_idx bigint, x1 double, y1 double, x2 double, y2 double, confidence double, ord int")
+    want, name = sorted(map(tuple, player_tracks(df, 30.0).collect())), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    for size in ("1", "4", "7"):
+        spark.conf.set(name, size)
+        try:
+            assert sorted(map(tuple, player_tracks(df, 30.0).collect())) == want
+        finally:
+            spark.conf.set(name, usual)
+    assert len(want) > 3 * 40 * 4
