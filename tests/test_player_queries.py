@@ -3,6 +3,7 @@
 import sys
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rallyloom.operators.players import PlayerFold, player_tracks
 from rallyloom.params import PlayerParams
@@ -66,3 +67,10 @@ def test_frames_cut_by_batches_are_whole(spark):
         finally:
             spark.conf.set(name, usual)
     assert len(want) > 3 * 40 * 4
+
+
+def test_clips_do_not_share_a_task(spark):
+    rows = [(c, f, *map(float, b), 0.8, i) for c in range(4) for f in range(3) for i, b in enumerate(boxes(f))]
+    df = spark.createDataFrame(rows, "clip bigint, frame_idx bigint, x1 double, y1 double, x2 double, y2 double, confidence double, ord int")
+    dealt = player_tracks(df, 30.0).select("clip", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len({r.task for r in dealt}) == len(dealt) == 4
