@@ -3,7 +3,8 @@
 Each track predicts its box with a constant-velocity filter. Confident boxes are
 matched first, by overlap; what is left of the tracks is matched with weak boxes;
 young tracks and new ones follow. Clips are independent; a clip's frames are folded
-in order, sorted by the shuffle, with one batch of rows in memory at a time.
+in order, sorted by the shuffle, with ``PIECE_ROWS`` rows in memory at a time; ``lanes``
+folds the stretches of such a piece at once.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from rallyloom.schemas import TRACKS
 STD_POSITION, STD_VELOCITY = 1 / 20, 1 / 160
 #: Tasks that clips are dealt to: many, so that two of a few clips seldom meet in one.
 CLIP_TASKS = 200
+#: Rows of a clip that are folded at once, and rows of a batch of tracks.
+PIECE_ROWS, OUT_ROWS = 1 << 20, 50_000
 
 
 def assign(cost: np.ndarray, limit: float) -> tuple[list[tuple[int, int]], list[int], list[int]]:
@@ -246,6 +249,17 @@ class Track:
         return self.cx - w, self.cy - h, self.cx + w, self.cy + h
 
 
+def decide(p: PlayerParams, pool: list[tuple], weak: list[tuple], young: list[tuple]) -> dict[int, int]:
+    """Box of each matched track, from the feasible pairs of the three stages."""
+    matched = dict(assign_pairs(pool, p.match))
+    if weak:
+        matched |= assign_pairs([x for x in weak if x[0] not in matched], p.second_match)
+    if young:
+        taken = set(matched.values())
+        matched |= assign_pairs([x for x in young if x[1] not in taken], p.unconfirmed_match)
+    return matched
+
+
 class PlayerFold:
     #: Pairs of tracks and boxes beyond which arrays are quicker than plain numbers.
     CROWD = 2000
@@ -288,12 +302,7 @@ class PlayerFold:
                         pool.append((i, j, cost))
                 elif p.low_conf < s < p.high_conf and far <= p.second_match and t.id is not None and not t.lost:
                     weak.append((i, j, far))
-        matched = dict(assign_pairs(pool, p.match))
-        if weak:
-            matched |= assign_pairs([x for x in weak if x[0] not in matched], p.second_match)
-        if young:
-            taken = set(matched.values())
-            matched |= assign_pairs([x for x in young if x[1] not in taken], p.unconfirmed_match)
+        matched = decide(p, pool, weak, young)
         out: list[tuple[int, int]] = []
         self.tracks = []
         for i, t in enumerate(tracks):
@@ -335,31 +344,23 @@ def player_tracks(detections: DataFrame, fps: float, params: PlayerParams = Play
     ordered = dealt.sortWithinPartitions("clip", "frame_idx", "ord", *corners, "confidence").drop("ord")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clip, fold, last = None, None, None
-        for rows in _whole_frames(batches):
-            clips, frames = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-            *columns, scores = (c.to_numpy(zero_copy_only=False).tolist() for c in rows.columns[2:])
-            boxes = [*zip(*columns)]
-            picked, ids, begin = [], [], 0
-            while begin < len(frames):
-                frame, end = frames[begin], begin + 1
-                while end < len(frames) and frames[end] == frame and clips[end] == clips[begin]:
-                    end += 1
-                if fold is None or clip != clips[begin]:
-                    clip, fold, last = clips[begin], PlayerFold(params, fps), None
-                for missing in range(last + 1 if last is not None else frame, frame):
-                    if not fold.tracks:
-                        break
-                    fold.advance(missing, [], [])
-                last = frame
-                for t, i in fold.advance(frame, boxes[begin:end], scores[begin:end]):
-                    picked.append(begin + i)
-                    ids.append(t)
-                begin = end
-            taken = rows.take(pa.array(picked, pa.int64())).columns
-            columns = [*taken[:2], pa.array(ids, pa.int64()), *taken[2:]]
-            types = [pa.int64()] * 3 + [pa.float64()] * 5
-            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types)], [x.split()[0] for x in TRACKS.split(", ")])
+        from rallyloom.operators.lanes import ClipFold
+
+        names = [x.split()[0] for x in TRACKS.split(", ")]
+        types = [pa.int64()] * 3 + [pa.float64()] * 5
+        fold = None
+        for rows, fresh in _pieces(_whole_frames(batches)):
+            if fresh:
+                fold = ClipFold(params, fps)
+            frames, *columns = rows.columns[1:]
+            if frames.null_count:
+                raise ValueError("a box without a frame")
+            *corners, scores = (np.asarray(c.to_numpy(zero_copy_only=False), float) for c in columns)
+            picked, ids = fold.rows(frames.to_numpy(), np.array(corners), scores)
+            for begin in range(0, len(ids), OUT_ROWS):
+                taken = rows.take(pa.array(picked[begin : begin + OUT_ROWS])).columns
+                out = [*taken[:2], pa.array(ids[begin : begin + OUT_ROWS]), *taken[2:]]
+                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(out, types)], names)
 
     return ordered.mapInArrow(run, TRACKS)
 
@@ -383,3 +384,22 @@ def _whole_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         before = end
     if held:
         yield pa.concat_batches(held)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Rows of one clip, many at once, and whether the clip begins with them."""
+    held: list[pa.RecordBatch] = []
+    size, clip, fresh = 0, None, True
+    for batch in batches:
+        codes = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        cuts = [0, *(np.nonzero(codes[1:] != codes[:-1])[0] + 1).tolist(), len(codes)]
+        for begin, end in zip(cuts, cuts[1:]):
+            own = batch.column(0)[begin].as_py()
+            if held and (own != clip or size >= PIECE_ROWS):
+                yield pa.concat_batches(held), fresh
+                held, size, fresh = [], 0, own != clip
+            clip = own
+            held.append(batch.slice(begin, end - begin))
+            size += end - begin
+    if held:
+        yield pa.concat_batches(held), fresh
